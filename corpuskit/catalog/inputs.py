@@ -149,6 +149,15 @@ PORTABLE: dict[str, str] = {
                lang AS language, doc_id % 400 + 1 AS line_start, doc_id % 400 + 9 AS line_end,
                text AS source, n_chars
         FROM @documents@""",
+    # every customer declares a package and a module of its repository
+    "manifests": f"""
+        SELECT concat('src', c_custkey % 20) AS repo,
+               CASE c_custkey % 4 WHEN 0 THEN 'setup.py' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'pyproject.toml'
+                    ELSE concat('pkg', c_custkey % 11, '/__init__.py') END AS path,
+               CASE c_custkey % 4 WHEN 0 THEN {text_template('setup(name="Mod<<c_custkey % 13>>", v=1)')}
+                    WHEN 1 THEN {text_template('// <<c_name>>\nmodule example.org/r<<c_custkey % 12>>\n\ngo 1.20')}
+                    WHEN 2 THEN {text_template('[project]\nname = "my-app<<c_custkey % 15>>"')} ELSE '' END AS text
+        FROM @customer@""",
     "commits": """
         SELECT concat('repo', o_custkey % 20) AS repo, concat('f', o_custkey, '.go') AS path,
                concat('c', lpad(concat('', o_orderkey), 9, '0')) AS sha,

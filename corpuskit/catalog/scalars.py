@@ -147,7 +147,8 @@ def f10(t):
 
 
 def code_mentions_sql(column):
-    lists = ", ".join(f"regexp_extract_all({ASCII_SQL.format(column)}, '{p}')" for p in X.CODE_MENTION_PATTERNS)
+    calls = rf"regexp_extract_all({column}, '[\p{{L}}\p{{N}}_]+_[\p{{L}}\p{{N}}_]+\s*\(')"
+    lists = ", ".join([calls] + [f"regexp_extract_all({ASCII_SQL.format(column)}, '{p}')" for p in X.CODE_MENTION_PATTERNS[1:]])
     return (f"list_sort(list_distinct(list_transform(flatten([{lists}]), "
             "lambda m: regexp_replace(m, '^\\s+|\\s+$', '', 'g'))))[1:10]")
 
