@@ -142,8 +142,9 @@ PORTABLE: dict[str, str] = {
     "symbols": """
         SELECT doc_id, source AS repo,
                concat('docs/', lang, '/file_', doc_id % 211, '.', lang) AS file,
-               concat(CASE doc_id % 4 WHEN 0 THEN 'Get' WHEN 1 THEN 'set_' WHEN 2 THEN 'RUN_' ELSE 'do' END,
-                      upper(substr(lang, 1, 1)), 'Item_', doc_id % 97) AS name,
+               CASE doc_id % 4 WHEN 0 THEN concat('Get', upper(substr(lang, 1, 1)), 'Item_', doc_id % 97)
+                    WHEN 1 THEN concat('st_', doc_id % 11) WHEN 2 THEN concat('GPIO_', doc_id % 9)
+                    ELSE concat('do_regbank', doc_id % 5, '_x') END AS name,
                CASE doc_id % 6 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'class'
                     WHEN 3 THEN 'struct' WHEN 4 THEN 'type' ELSE 'enum' END AS type,
                lang AS language, doc_id % 400 + 1 AS line_start, doc_id % 400 + 9 AS line_end,
@@ -228,7 +229,7 @@ _RAW_BLOCKS = f"""
              WHEN 'h1' THEN CASE WHEN page % 5 = 0 THEN concat('Chapter ', page % 20, ' ', text)
                                  ELSE concat(page % 7 + 1, '.', page % 3 + 1, ' ', text) END
              WHEN 'a' THEN CASE block_idx % 4
-                 WHEN 1 THEN concat('REG', page % 4, '  Name  Value')
+                 WHEN 1 THEN concat('REGBANK', page % 4, '  Name  Value')
                  WHEN 2 THEN concat('GPIO_', page % 9, '  ', text, '  0x1F')
                  WHEN 3 THEN concat('void set_', text, '(uint8_t pin) motor')
                  ELSE concat('typedef struct st_', page % 11, ' ', chr(123), ' ', text) END
