@@ -319,3 +319,10 @@ class Inputs:
         from corpuskit.plans.manual import carry_headings
 
         return carry_headings(self.blocks)
+
+    @cached_property
+    def block_table(self) -> DataFrame:
+        """Blocks with their headings, written once for jobs that read them more than once."""
+        from corpuskit.session import materialize
+
+        return materialize(self.context_blocks, "blocks")

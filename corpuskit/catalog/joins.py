@@ -63,7 +63,7 @@ oracle_table("links", f"""
 
 
 def links(t):
-    return L.manual_links(M.extract_snippets(t.context_blocks), M.extract_tables(t.context_blocks), t.symbols)
+    return L.manual_links(M.extract_snippets(t.block_table), M.extract_tables(t.block_table), t.symbols)
 
 
 @query("X8_manual_link_job", "SELECT doc, page, item_id, repo, file, name, round(confidence, 6) AS confidence, match_type, rank FROM @links@")
@@ -73,7 +73,7 @@ def x8(t):
 
 @query("W16_best_match_dedup", "SELECT term, repo, file, name, CAST(confidence AS DOUBLE) AS confidence FROM @term_symbols@")
 def w16(t):
-    found = L.snippet_identifiers(M.extract_snippets(t.context_blocks)).unionByName(L.table_identifiers(M.extract_tables(t.context_blocks)))
+    found = L.snippet_identifiers(M.extract_snippets(t.block_table)).unionByName(L.table_identifiers(M.extract_tables(t.block_table)))
     return L.search_symbols(found.select(normalize_identifier(F.col("identifier")).alias("term")), t.symbols)
 
 
@@ -98,14 +98,14 @@ def e28(t):
     SELECT p.doc, count(*) AS pages, count(l.page) AS linked_pages, round(count(l.page) / count(*), 6) AS coverage FROM @page_ctx@ p
     LEFT JOIN (SELECT DISTINCT doc, page FROM @links@) l ON p.doc = l.doc AND p.page = l.page GROUP BY p.doc""")
 def e32(t):
-    return V.page_coverage(M.page_context(t.context_blocks), links(t))
+    return V.page_coverage(M.page_context(t.block_table), links(t))
 
 
 @query("J22_snippet_link_join", """
     SELECT s.doc, s.page, s.snippet_id, l.repo, l.name, round(l.confidence, 6) AS confidence FROM @snippets@ s LEFT JOIN (SELECT * FROM @links@ WHERE rank <= 3) l
       ON s.doc = l.doc AND s.page = l.page AND s.snippet_id = l.item_id""")
 def j22(t):
-    snippets = M.extract_snippets(t.context_blocks)
+    snippets = M.extract_snippets(t.block_table)
     best = links(t).where("rank <= 3").select("doc", "page", F.col("item_id").alias("snippet_id"), "repo", "name", F.round("confidence", 6).alias("confidence"))
     return snippets.select("doc", "page", "snippet_id").join(best, ["doc", "page", "snippet_id"], "left")
 
@@ -230,8 +230,8 @@ def j21(t):
     SELECT c.doc, c.chapter, count(n.note_id) AS notes, min(n.note_id) AS first_note FROM (SELECT DISTINCT doc, coalesce(nullif(chapter, ''), 'Uncategorized') AS chapter FROM @page_ctx@) c
     LEFT JOIN (SELECT n.doc, p.chapter, 'N' || n.page || '.' || n.note_no AS note_id FROM @notes@ n JOIN @page_ctx@ p ON n.doc = p.doc AND n.page = p.page) n ON c.doc = n.doc AND c.chapter = n.chapter GROUP BY ALL""")
 def j23(t):
-    chapters = M.chapter_rollup(M.page_context(t.context_blocks)).select("doc", "chapter")
-    notes = M.extract_notes(t.context_blocks).groupBy("doc", "chapter").agg(F.count("*").alias("notes"), F.min("note_id").alias("first_note"))
+    chapters = M.chapter_rollup(M.page_context(t.block_table)).select("doc", "chapter")
+    notes = M.extract_notes(t.block_table).groupBy("doc", "chapter").agg(F.count("*").alias("notes"), F.min("note_id").alias("first_note"))
     return chapters.join(notes, ["doc", "chapter"], "left").withColumn("notes", F.coalesce("notes", F.lit(0)))
 
 

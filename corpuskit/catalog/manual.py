@@ -133,7 +133,7 @@ oracle_table("notes", rf"""
 
 @query("W8_sequence_ids", "SELECT doc, page, block_idx, 'N' || page || '.' || note_no AS note_id FROM @notes@")
 def w8(t):
-    return M.extract_notes(t.context_blocks).select("doc", "page", "block_idx", "note_id")
+    return M.extract_notes(t.block_table).select("doc", "page", "block_idx", "note_id")
 
 
 SLUG_SQL = (r"substr(array_to_string(list_filter(regexp_split_to_array(regexp_replace({0}, '[^a-zA-Z0-9\s]', '', 'g'), '\s+'), lambda w: w <> '')[1:6], '_'), 1, 50)")
@@ -145,7 +145,7 @@ SLUG_SQL = (r"substr(array_to_string(list_filter(regexp_split_to_array(regexp_re
            {G.tags_sql('full_text', G.NOTE_TAGS)} AS hardware, array_to_string({C.code_mentions_sql('full_text')}, '|') AS mentions, chapter, section
     FROM @notes@ n LEFT JOIN @page_ctx@ p ON n.doc = p.doc AND n.page = p.page""")
 def x3(t):
-    return M.extract_notes(t.context_blocks).select(
+    return M.extract_notes(t.block_table).select(
         "doc", "page", "note_id", "note_type", "content", "full_text", "vault_note", F.array_join("hardware_mentions", "|").alias("hardware"),
         F.array_join("code_mentions", "|").alias("mentions"), "chapter", "section")
 
@@ -164,7 +164,7 @@ oracle_table("snippets", rf"""
         WHEN 'python' THEN regexp_extract(line, '^def\s+(\w+)\s*\(', 1) END, '') AS function_name
     FROM @snippets@""")
 def x4(t):
-    return M.extract_snippets(t.context_blocks).select(
+    return M.extract_snippets(t.block_table).select(
         "doc", "page", "snippet_id", "content", "table_header", "caption", "chapter", "section", "language",
         F.array_join("struct_names", "|").alias("struct_names"), "token_count", "function_name")
 
@@ -182,7 +182,7 @@ oracle_table("manual_tables", f"""
       {G.tags_sql('everything', G.TABLE_TAGS)} AS hardware, {C.WORDS_SQL.format('everything')} AS token_count
     FROM @manual_tables@""")
 def x5(t):
-    return M.extract_tables(t.context_blocks).select(
+    return M.extract_tables(t.block_table).select(
         "doc", "page", "table_id", "caption", F.array_join("headers", "#").alias("headers"), "chapter", "section", "structured_text",
         F.array_join("hardware_components", "|").alias("hardware"), "token_count")
 
@@ -215,8 +215,8 @@ def e4_pages(t):
     SELECT r.doc, r.ref_type, r.identifier, r.page, g.target_page FROM @ref_pages@ r LEFT JOIN @ref_targets@ g
       ON r.doc = g.doc AND r.ref_type = g.ref_type AND r.identifier = g.identifier""")
 def j10(t):
-    targets = M.reference_targets(t.context_blocks)
-    return M.reference_mentions(t.blocks).join(targets, ["doc", "ref_type", "identifier"], "left").select(
+    targets = M.reference_targets(t.block_table)
+    return M.reference_mentions(t.block_table).join(targets, ["doc", "ref_type", "identifier"], "left").select(
         "doc", "ref_type", "identifier", "page", "target_page")
 
 
@@ -225,14 +225,14 @@ def j10(t):
       {C.REF_NOTE_SQL.format('r.ref_type', 'r.identifier')} AS vault_note
     FROM @ref_pages@ r LEFT JOIN @ref_targets@ g ON r.doc = g.doc AND r.ref_type = g.ref_type AND r.identifier = g.identifier GROUP BY r.doc, r.ref_type, r.identifier""")
 def x6(t):
-    return M.cross_references(t.context_blocks)
+    return M.cross_references(t.block_table)
 
 
 IMAGES_SQL = "SELECT doc, page, block_idx, block_idx AS image_idx, width, height FROM @blocks@ WHERE type = 'figure_region'"
 
 
 def _images(t):
-    return t.blocks.where("type = 'figure_region'").select("doc", "page", "block_idx", F.col("block_idx").alias("image_idx"), "width", "height")
+    return t.block_table.where("type = 'figure_region'").select("doc", "page", "block_idx", F.col("block_idx").alias("image_idx"), "width", "height")
 
 
 oracle_table("figures", f"""
@@ -245,19 +245,19 @@ oracle_table("figures", f"""
 
 @query("X7_figure_captions", "SELECT doc, page, 'Fig_' || page || '_' || image_idx AS figure_id, caption, chapter, section FROM @figures@")
 def x7(t):
-    return M.figure_captions(_images(t), t.context_blocks).select("doc", "page", "figure_id", "caption", "chapter", "section")
+    return M.figure_captions(_images(t), t.block_table).select("doc", "page", "figure_id", "caption", "chapter", "section")
 
 
 @query("J11_page_context_join", """
     SELECT g.doc, g.page, g.n, p.chapter, p.section, p.subsection FROM @tab_groups@ g LEFT JOIN @page_ctx@ p ON g.doc = p.doc AND g.page = p.page""")
 def j11(t):
-    context = M.page_context(t.context_blocks).drop("chapter_num")
-    return M.table_groups(t.blocks).select("doc", "page", "n").join(context, ["doc", "page"], "left")
+    context = M.page_context(t.block_table).drop("chapter_num")
+    return M.table_groups(t.block_table).select("doc", "page", "n").join(context, ["doc", "page"], "left")
 
 
 @query("J12_ordinal_caption_join", "SELECT doc, page, image_idx, caption FROM @figures@")
 def j12(t):
-    return M.figure_captions(_images(t), t.context_blocks).select("doc", "page", "image_idx", "caption")
+    return M.figure_captions(_images(t), t.block_table).select("doc", "page", "image_idx", "caption")
 
 
 @query("E1_block_type_counts", "SELECT type, count(*) AS n FROM @blocks@ GROUP BY type")
@@ -269,9 +269,9 @@ def e1(t):
     SELECT 'note' AS what, note_type AS kind, count(*) AS n FROM @notes@ GROUP BY ALL
     UNION ALL SELECT 'reference', ref_type, count(*) FROM (SELECT DISTINCT doc, ref_type, identifier FROM @ref_pages@) GROUP BY ALL""")
 def e3(t):
-    notes = M.extract_notes(t.context_blocks).groupBy("note_type").count().select(
+    notes = M.extract_notes(t.block_table).groupBy("note_type").count().select(
         F.lit("note").alias("what"), F.col("note_type").alias("kind"), F.col("count").alias("n"))
-    refs = M.reference_mentions(t.blocks).select("doc", "ref_type", "identifier").distinct().groupBy("ref_type").count()
+    refs = M.reference_mentions(t.block_table).select("doc", "ref_type", "identifier").distinct().groupBy("ref_type").count()
     return notes.unionByName(refs.select(F.lit("reference").alias("what"), F.col("ref_type").alias("kind"), F.col("count").alias("n")))
 
 

@@ -102,18 +102,14 @@ def caps_words(text: Column, pattern: str = r"\b([A-Z][A-Z_]{3,})\b") -> Column:
 
 
 def note_type(text: Column) -> Column:
-    chain = F.when(F.lit(False), "")
-    for prefix in NOTE_PREFIXES:
-        chain = chain.when(F.upper(text).startswith(prefix), prefix[:-1].replace(" ", "_"))
-    return chain.otherwise("NOTE")
+    prefix = F.regexp_extract(text, "^(?i)(" + "|".join(p[:-1] for p in NOTE_PREFIXES) + "):", 1)
+    return F.when(prefix != "", F.replace(F.upper(prefix), F.lit(" "), F.lit("_"))).otherwise("NOTE")
 
 
 def note_body(text: Column) -> Column:
     """Note text without its type prefix."""
-    chain = F.when(F.lit(False), "")
-    for prefix in NOTE_PREFIXES:
-        chain = chain.when(F.upper(text).startswith(prefix), strip(F.substr(text, F.lit(len(prefix) + 1))))
-    return chain.otherwise(text)
+    marked = "^(?i)(?:" + "|".join(NOTE_PREFIXES) + r")([\s\S]*)$"
+    return F.when(text.rlike(marked), strip(F.regexp_extract(text, marked, 1))).otherwise(text)
 
 
 def references(text: Column) -> Column:
@@ -156,10 +152,7 @@ def block_type(kind: Column, font: Column, size: Column, text: Column) -> Column
     name = F.coalesce(font, F.lit(""))
     has = name.contains
     small = size <= 9
-    upper = F.upper(text)
-    starts_note = F.lit(False)
-    for prefix in NOTE_PREFIXES:
-        starts_note = starts_note | upper.startswith(prefix)
+    starts_note = text.rlike("^(?i)(" + "|".join(NOTE_PREFIXES) + ")")
     # Fonts and sizes that mark each role, tried in this order.
     return (
         F.when((kind == 1) | font.isNull(), "figure_region")

@@ -23,9 +23,16 @@ CAPTION_HOSTS = ("figure_region", "table_header", "code")
 ORDINAL_TYPES = ("figure_region", "table_header", "code")
 MIN_FIGURE_PX = 50
 
-_page_order = Window.partitionBy("doc", "page").orderBy("block_idx")
-_page_so_far = _page_order.rowsBetween(Window.unboundedPreceding, 0)
-_page_ahead = _page_order.rowsBetween(Window.unboundedPreceding, -1)
+def _page_order():
+    return Window.partitionBy("doc", "page").orderBy("block_idx")
+
+
+def _page_so_far():
+    return _page_order().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _page_ahead():
+    return _page_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def page_bucket(page: str = "page") -> Column:
@@ -81,7 +88,7 @@ def pending_table_header(blocks: DataFrame) -> DataFrame:
     ends = F.col("type").isin(*HEADING_TYPES, "caption")
     event = F.when(F.col("type") == "table_header", F.struct(F.col("text").alias("h"))).when(
         ends, F.struct(F.lit(None).cast("string").alias("h")))
-    pending = F.last(event, True).over(_page_so_far)["h"]
+    pending = F.last(event, True).over(_page_so_far())["h"]
     return blocks.withColumn("table_header", F.when(F.col("type") == "code", pending))
 
 
@@ -91,8 +98,8 @@ def attach_captions(blocks: DataFrame) -> DataFrame:
     A caption goes to the nearest such block before it on the page (the last
     caption wins), a figure label to the nearest figure before it.
     """
-    host = F.last(F.when(F.col("type").isin(*CAPTION_HOSTS), F.col("block_idx")), True).over(_page_ahead)
-    figure = F.last(F.when(F.col("type") == "figure_region", F.col("block_idx")), True).over(_page_ahead)
+    host = F.last(F.when(F.col("type").isin(*CAPTION_HOSTS), F.col("block_idx")), True).over(_page_ahead())
+    figure = F.last(F.when(F.col("type") == "figure_region", F.col("block_idx")), True).over(_page_ahead())
     marked = blocks.select(
         "doc", "page", "block_idx", "type", "text",
         F.when(F.col("type") == "caption", host).when(F.col("type") == "figure_label", figure).alias("host"))
@@ -126,7 +133,7 @@ def snippet_groups(blocks: DataFrame) -> DataFrame:
         parts, F.struct(F.lit(None).cast("string").alias("h")))
     marked = blocks.select(
         "doc", "page", "block_idx", "type", strip(F.col("text")).alias("text"),
-        F.sum(parts.cast("int")).over(_page_so_far).alias("grp"), F.last(header_event, True).over(_page_so_far)["h"].alias("header"),
+        F.sum(parts.cast("int")).over(_page_so_far()).alias("grp"), F.last(header_event, True).over(_page_so_far())["h"].alias("header"),
         F.when(F.col("type") == "caption", strip(F.col("text"))).alias("cap"))
     # the caption that closes group g carries number g + 1
     codes = marked.where("type = 'code'").groupBy("doc", "page", "grp").agg(
@@ -157,9 +164,9 @@ def table_groups(blocks: DataFrame) -> DataFrame:
     of the page closes what has rows.  Empty tables count but are not kept.
     """
     live = blocks.where(strip(F.col("text")) != "").select("doc", "page", "block_idx", "type", strip(F.col("text")).alias("text"))
-    after_caption = F.coalesce(F.lag(F.col("type") == "caption").over(_page_order), F.lit(False))
+    after_caption = F.coalesce(F.lag(F.col("type") == "caption").over(_page_order()), F.lit(False))
     opens = ((F.col("type") == "table_header") | after_caption).cast("int")
-    marked = live.withColumn("grp", F.sum(opens).over(_page_so_far))
+    marked = live.withColumn("grp", F.sum(opens).over(_page_so_far()))
     groups = marked.groupBy("doc", "page", "grp").agg(
         F.max_by("text", F.when(F.col("type") == "table_header", F.col("block_idx"))).alias("header"),
         F.max_by("text", F.when(F.col("type") == "caption", F.col("block_idx"))).alias("caption"),
