@@ -15,11 +15,16 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuskit.session import spread_scan
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# tables whose rows take real work to parse
+TEXT_TABLES = ("documents", "pages")
+
 
 def text_template(template: str) -> str:
     """SQL ``concat`` for a text with ``<<expression>>`` holes.
@@ -290,7 +295,8 @@ class Inputs:
         frames = self.__dict__["_frames"]
         if name not in frames:
             if name in BASE_TABLES:
-                frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                frames[name] = spread_scan(frame) if name in TEXT_TABLES else frame
             elif name in PORTABLE:
                 frames[name] = self._portable(PORTABLE[name])
             else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import search_tokens
 from corpuskit.operators.scan import top_rows
+from corpuskit.session import materialize
 
 # The usual Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -26,14 +27,16 @@ class Bm25Index:
 def build_index(docs: DataFrame, doc_id: str = "doc_id", fields: tuple[str, ...] = ("content",), tokens=search_tokens) -> Bm25Index:
     """Index the joined ``fields`` of documents with any text.
 
-    Postings are counted with map-side combine; terms and totals are small
-    aggregates of the postings.
+    The texts are tokenised once; words and postings are written to the shared
+    folder because terms, totals and every search read them.
     """
     text = F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in fields])
-    live = docs.select(F.col(doc_id).alias("doc_id"), text.alias("__t")).where(F.trim("__t") != "")
-    listed = live.select("doc_id", tokens(F.col("__t")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = listed.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    totals = live.select(F.size(tokens(F.col("__t"))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    words = tokens(F.col("__t"))
+    live = docs.select(F.col(doc_id).alias("doc_id"), text.alias("__t")).where(F.trim("__t") != "").select("doc_id", words.alias("w"))
+    live = materialize(live.withColumn("dl", F.size("w")), "bm25-words")
+    listed = live.select("doc_id", "dl", F.explode("w").alias("term"))
+    postings = materialize(listed.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+    totals = live.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     n_docs = totals.select("n_docs").scalar()
     counted = postings.groupBy("term").agg(F.count("*").alias("df"))
     plain = counted.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

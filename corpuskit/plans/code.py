@@ -124,18 +124,15 @@ def with_owners(defs: DataFrame) -> DataFrame:
 
     Python functions inside functions are not symbols and are left out.
     """
-    around_kinds = defs.where("type = 'class' or (type = 'function' and language = 'python')").select(
-        "repo", "path", F.struct("line_start", "line_end", "name", "type").alias("s"))
-    per_file = around_kinds.groupBy("repo", "path").agg(F.array_sort(F.collect_list("s")).alias("scopes"))
-    joined = defs.join(per_file, ["repo", "path"], "left")
+    scope = (F.col("type") == "class") | ((F.col("type") == "function") & (F.col("language") == "python"))
+    of_file = F.collect_list(F.when(scope, F.struct("line_start", "line_end", "name", "type"))).over(Window.partitionBy("repo", "path"))
     around = F.filter("scopes", lambda c: (c["line_start"] < F.col("line_start")) & (c["line_end"] >= F.col("line_end")))
+    joined = defs.withColumn("scopes", of_file).withColumn("around", F.array_sort(around))
     in_function = F.exists("around", lambda c: c["type"] == "function")
     class_names = F.transform(F.filter("around", lambda c: c["type"] == "class"), lambda c: c["name"])
     ownable = (F.col("type") == "function") & F.col("language").isin("python", "javascript", "typescript")
     return (
-        joined.withColumn("around", F.coalesce(around, F.array().cast(
-            "array<struct<line_start:int,line_end:int,name:string,type:string>>")))
-        .where(~((F.col("language") == "python") & in_function))
+        joined.where(~((F.col("language") == "python") & in_function))
         .withColumn("class_context", F.when(ownable, F.coalesce(F.try_element_at(class_names, F.lit(-1)), F.lit("")))
                     .otherwise(F.col("owner")))
         .withColumn("type", F.when(ownable & (F.col("class_context") != ""), "method").otherwise(F.col("type")))
@@ -145,7 +142,7 @@ def with_owners(defs: DataFrame) -> DataFrame:
 
 def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
     """Symbol table of source files."""
-    defs = with_owners(definitions(files, patterns))
+    defs = definitions(files, patterns)
     language = F.col("language")
     is_go = language == "go"
     doc_lines = F.slice("lines", F.col("line_start") + 1, F.col("line_end") - F.col("line_start"))
@@ -162,13 +159,14 @@ def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame
     probe = F.concat_ws(" ", "name", F.when(F.col("class_context").startswith("("), F.col("class_context")), "docstring",
                         F.substr("source", F.lit(1), reach))
     tagged = language.isin("python", "go", "c", "cpp")
+    # lines stay where they were read; only symbols move to their file's other symbols
+    defs = with_owners(defs.withColumn("docstring", doc).drop("lines"))
     return (
-        defs.withColumn("docstring", doc).withColumn("signature", signature)
+        defs.withColumn("signature", signature)
         .withColumn("qualified_name", F.concat(F.concat_ws("/", "repo", "path", F.concat(owner, "name"))))
         .withColumn("token_count", token_count(F.col("source")))
         .withColumn("hardware_binds", F.when(tagged, G.tags_of(probe)).otherwise(F.array().cast("array<string>")))
         .withColumn("language", F.when(language == "proto", "protobuf").otherwise(language))
-        .drop("lines")
     )
 
 

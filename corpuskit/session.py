@@ -38,3 +38,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes as fewer files than cores.
+
+    Large inputs have more splits than the cluster has cores and pass through
+    unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
