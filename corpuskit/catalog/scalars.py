@@ -70,7 +70,7 @@ def f6(t):
     c = F.col("text")
     clone = S.clone_tokens(c)
     return t.documents.select(
-        "doc_id", F.size(clone).alias("n_clone"), F.array_join(F.slice(F.array_sort(clone), 1, 5), " ").alias("first_clone"),
+        "doc_id", F.size(clone).alias("n_clone"), F.array_join(F.slice(F.sort_array(clone), 1, 5), " ").alias("first_clone"),
         F.size(S.search_tokens(c)).alias("n_search"), F.size(S.ascii_tokens(c)).alias("n_ascii"),
         S.word_count(c).alias("n_words"))
 

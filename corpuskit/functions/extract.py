@@ -88,13 +88,13 @@ def struct_names(text: Column, limit: int = 10) -> Column:
         _all(text, r"struct\s+(\w+)\s*\{"),
         _all(text, r"\b([A-Z][A-Z_]{2,})\b"),
     )
-    return F.slice(F.array_sort(F.array_distinct(names)), 1, limit)
+    return F.slice(F.sort_array(F.array_distinct(names)), 1, limit)
 
 
 def code_mentions(text: Column, limit: int = 10) -> Column:
     """Code-like mentions of a note: distinct, sorted, at most ``limit``."""
     found = F.concat(*[_all(text, p, 0) for p in CODE_MENTION_PATTERNS])
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, strip))), 1, limit)
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, strip))), 1, limit)
 
 
 def caps_words(text: Column, pattern: str = r"\b([A-Z][A-Z_]{3,})\b") -> Column:

@@ -41,7 +41,7 @@ def bounding_boxes(points: DataFrame, key: str = "repo", margin: float = 0.3) ->
 
 def code_todos(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """Open-work remarks with line number, kind and text."""
-    lines = files.select(key, F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    lines = files.select(key, F.posexplode_outer(F.split("text", "\n")).alias("i", "raw"))
     kind = F.regexp_extract("raw", TODO_PATTERN, 1)
     return lines.where(kind != "").select(key, (F.col("i") + 1).alias("line"), kind.alias("kind"), F.trim(F.regexp_extract("raw", TODO_PATTERN, 2)).alias("remark"))
 
@@ -62,7 +62,7 @@ def file_index(files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataF
 
 def tag_index(rows: DataFrame, key: str, tags: Column) -> DataFrame:
     """One row per tag and tagged item; stays long because a tag may hold any number."""
-    return rows.select(F.explode(tags).alias("tag"), key)
+    return rows.select(F.explode_outer(tags).alias("tag"), key).where("tag is not null")
 
 
 def progress(log: DataFrame, by: str, total: int | Column) -> DataFrame:

@@ -26,7 +26,7 @@ def cited_in_context(generations: DataFrame, contexts: DataFrame) -> DataFrame:
     Links are pulled out of the answer and joined by equality, so a context of
     any size is never compared source by source.
     """
-    cited = generations.select("gen_id", "ctx_id", F.explode(_plain_links(F.col("generation"))).alias("source"))
+    cited = generations.select("gen_id", "ctx_id", F.explode_outer(_plain_links(F.col("generation"))).alias("source"))
     return cited.join(contexts.select("ctx_id", "source").distinct(), ["ctx_id", "source"], "left_semi").select("gen_id").distinct()
 
 
@@ -88,7 +88,7 @@ def assemble_context(ranked: DataFrame, limit: int = CONTEXT_TOKENS) -> DataFram
     source = first_present(F.col("file"), F.col("source"), default="Unknown")
     kept = budget_context(ranked, limit)
     block = F.concat(F.lit("--- SOURCE FILE: "), source, F.lit(" ---\n"), clip_tokens(F.col("content"), F.col("kept_tokens").cast("int")))
-    blocks = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
+    blocks = F.sort_array(F.collect_list(F.struct("rank", block.alias("b"))))
     return kept.groupBy("query_id").agg(
         F.array_join(F.transform(blocks, lambda x: x["b"]), "\n").alias("context"), F.sum("kept_tokens").alias("context_tokens"),
         F.count("*").alias("sources"))

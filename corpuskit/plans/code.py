@@ -108,7 +108,8 @@ def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
             part = F.when(F.col("language") == language, hits_of(kind, pattern, name_group, owner_group)).otherwise(F.array().cast("array<struct<line_start:int,type:string,name:string,owner:string>>"))
             found = part if found is None else F.concat(found, part)
     keep = [c for c in files.columns if c != "text"]
-    rows = files.select(*keep, lines.alias("lines"), F.explode(found).alias("found_def")).select(*keep, "lines", "found_def.*")
+    rows = files.select(*keep, lines.alias("lines"), F.explode_outer(found).alias("found_def")).where(
+        "found_def is not null").select(*keep, "lines", "found_def.*")  # outer: no filter that repeats the patterns
     end = (
         F.when(F.col("language") == "python", indent_end(F.col("lines"), F.col("line_start")))
         .when((F.col("language") == "proto") & (F.col("type") == "function"), F.col("line_start"))
@@ -127,7 +128,7 @@ def with_owners(defs: DataFrame) -> DataFrame:
     scope = (F.col("type") == "class") | ((F.col("type") == "function") & (F.col("language") == "python"))
     of_file = F.collect_list(F.when(scope, F.struct("line_start", "line_end", "name", "type"))).over(Window.partitionBy("repo", "path"))
     around = F.filter("scopes", lambda c: (c["line_start"] < F.col("line_start")) & (c["line_end"] >= F.col("line_end")))
-    joined = defs.withColumn("scopes", of_file).withColumn("around", F.array_sort(around))
+    joined = defs.withColumn("scopes", of_file).withColumn("around", F.sort_array(around))
     in_function = F.exists("around", lambda c: c["type"] == "function")
     class_names = F.transform(F.filter("around", lambda c: c["type"] == "class"), lambda c: c["name"])
     ownable = (F.col("type") == "function") & F.col("language").isin("python", "javascript", "typescript")
@@ -172,7 +173,7 @@ def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame
 
 def python_imports(files: DataFrame) -> DataFrame:
     """``import x`` and ``from x import`` lines with their module."""
-    rows = files.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("line_text", strip(F.col("raw")))
+    rows = files.select("repo", "path", F.posexplode_outer(F.split("text", "\n")).alias("i", "raw")).withColumn("line_text", strip(F.col("raw")))
     plain = F.regexp_extract("line_text", r"^import\s+([\w.]+)", 1)
     from_ = F.regexp_extract("line_text", r"^from\s+([\w.]+)\s+import", 1)
     return (
@@ -184,7 +185,7 @@ def python_imports(files: DataFrame) -> DataFrame:
 
 def go_imports(files: DataFrame) -> DataFrame:
     """Single and block imports of Go files, one row per path."""
-    rows = files.select("repo", "path", F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("t", strip(F.col("raw")))
+    rows = files.select("repo", "path", F.posexplode_outer(F.split("text", "\n")).alias("i", "raw")).withColumn("t", strip(F.col("raw")))
     # Within a file: inside a block while the last bracket line was an opening one.
     w = Window.partitionBy("repo", "path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("t") == "import (", 1).when(F.col("t") == ")", 0)

@@ -42,7 +42,7 @@ def memory(turns: DataFrame, keep: int = 8, chars: int = 500) -> DataFrame:
 def memory_block(turns: DataFrame, keep: int = 8) -> DataFrame:
     """Memory of each conversation as one text in turn order."""
     rows = memory(turns, keep)
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "entry")))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "entry")))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), "\n").alias("memory"), F.count("*").alias("entries"))
 
 

@@ -105,7 +105,7 @@ def attach_captions(blocks: DataFrame) -> DataFrame:
         F.when(F.col("type") == "caption", host).when(F.col("type") == "figure_label", figure).alias("host"))
     notes = marked.where("host is not null").groupBy("doc", "page", F.col("host").alias("block_idx")).agg(
         F.max_by("text", F.when(F.col("type") == "caption", F.col("block_idx"))).alias("caption"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "figure_label", F.struct("block_idx", "text")))),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == "figure_label", F.struct("block_idx", "text")))),
                     lambda s: s["text"]).alias("labels"))
     hosts = marked.where(F.col("type").isin(*CAPTION_HOSTS)).select("doc", "page", "block_idx", "type")
     return hosts.join(notes, ["doc", "page", "block_idx"], "left")
@@ -118,7 +118,7 @@ def page_ordinals(blocks: DataFrame) -> DataFrame:
 
 
 def _ordered_text(sep: str, column: str = "text") -> Column:
-    items = F.array_sort(F.collect_list(F.struct("block_idx", F.col(column).alias("t"))))
+    items = F.sort_array(F.collect_list(F.struct("block_idx", F.col(column).alias("t"))))
     return F.array_join(F.transform(items, lambda s: s["t"]), sep)
 
 
@@ -170,7 +170,7 @@ def table_groups(blocks: DataFrame) -> DataFrame:
     groups = marked.groupBy("doc", "page", "grp").agg(
         F.max_by("text", F.when(F.col("type") == "table_header", F.col("block_idx"))).alias("header"),
         F.max_by("text", F.when(F.col("type") == "caption", F.col("block_idx"))).alias("caption"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "code", F.struct("block_idx", "text")))),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("type") == "code", F.struct("block_idx", "text")))),
                     lambda s: s["text"]).alias("row_texts"))
     counted = groups.where((F.size("row_texts") > 0) | F.col("caption").isNotNull())
     n = F.row_number().over(Window.partitionBy("doc", "page").orderBy("grp"))
@@ -219,7 +219,7 @@ def extract_notes(context_blocks: DataFrame) -> DataFrame:
 def reference_mentions(blocks: DataFrame) -> DataFrame:
     """Mentions per referring page: ``doc, ref_type, identifier, page, mentions``."""
     live = blocks.where(F.col("type").isin(*REFERRING_TYPES))
-    refs = live.select("doc", "page", F.explode(X.references(F.col("text"))).alias("r"))
+    refs = live.select("doc", "page", F.explode_outer(X.references(F.col("text"))).alias("r")).where("r is not null")
     return refs.groupBy("doc", F.col("r.ref_type").alias("ref_type"), F.col("r.identifier").alias("identifier"), "page").agg(
         F.count("*").alias("mentions"))
 

@@ -73,7 +73,7 @@ def file_symbols(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def broken_links(notes: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Links of notes that lead to no existing note."""
-    targets = notes.select(key, F.explode(citations(F.col("content"))).alias("target")).distinct()
+    targets = notes.select(key, F.explode_outer(citations(F.col("content"))).alias("target")).where("target is not null").distinct()
     return targets.join(names.select(F.col("name").alias("target")).distinct(), "target", "left_anti").select(key, "target")
 
 

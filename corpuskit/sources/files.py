@@ -80,7 +80,9 @@ def html_blocks(pages: DataFrame, tag_pattern: str) -> DataFrame:
     texts = F.regexp_extract_all("html", F.lit(tag_pattern), F.lit(2))
     return (
         pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("doc"), F.col("page_id").alias("page"),
-                     F.posexplode(F.arrays_zip(tags.alias("tag"), texts.alias("text"))))
+                     F.posexplode_outer(F.arrays_zip(tags.alias("tag"), texts.alias("text"))))
+        # an outer explode does not repeat the patterns in a filter below it
+        .where("pos is not null")
         .select("doc", "page", F.col("pos").alias("block_idx"), F.col("col.tag").alias("tag"),
                 F.trim("col.text").alias("text"))
     )
