@@ -110,9 +110,9 @@ def nearest(
         q_blocks = math.ceil(queries.count() / MAX_BROADCAST_QUERIES)
         v_blocks = math.ceil(vectors.count() / VECTORS_PER_BLOCK)
         asks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks)).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("bigint"))
+            "vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_blocks - 1).cast("bigint"))))
         held = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), v_blocks)).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint"))
+            "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
         found = held.groupBy("qb", "vb").cogroup(asks.groupBy("qb", "vb")).applyInPandas(
             lambda vec, ask: score(vec, ask), schema)
 

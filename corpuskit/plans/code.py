@@ -51,24 +51,30 @@ def brace_balance(line: Column) -> Column:
     return opens - closes
 
 
-def brace_end(lines: Column, start: Column, reach: int | None = None) -> Column:
-    """Line on which the block opened at ``start`` (1-based) closes.
-
-    The first later line on which no brace is open any more; ``start`` itself
-    when there is none within ``reach`` lines.
-    """
-    count = F.size(lines) - start if reach is None else F.least(F.lit(reach - 1), F.size(lines) - start)
-    body = F.slice(lines, start + 1, F.greatest(F.lit(0), count))
-    state = F.struct(brace_balance(F.element_at(lines, start)).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+def _first_closed(body: Column, opened: Column, depth: Column) -> Column:
+    """Place (from 1) of the first line after which an opened block is closed, else 0."""
+    state = F.struct(opened.alias("opened"), depth.alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
     def step(s, line):
-        depth = s["depth"] + brace_balance(line)
+        seen = s["opened"] | line.contains("{")
+        level = s["depth"] + brace_balance(line)
         n = s["n"] + 1
-        return F.struct(depth.alias("depth"), n.alias("n"),
-                        F.when((s["end"] == 0) & (depth <= 0), n).otherwise(s["end"]).alias("end"))
+        return F.struct(seen.alias("opened"), level.alias("depth"), n.alias("n"),
+                        F.when((s["end"] == 0) & seen & (level <= 0), n).otherwise(s["end"]).alias("end"))
+
+    return F.aggregate(body, state, step)["end"]
+
+
+def brace_end(lines: Column, start: Column) -> Column:
+    """Line on which the first block opened at or after ``start`` (1-based) closes; else ``start``."""
+    body = F.slice(lines, start, F.size(lines) - start + 1)
+    return start + F.greatest(F.lit(0), _first_closed(body, F.lit(False), F.lit(0)) - 1)
+
 
-    closed = F.aggregate(body, state, step)["end"]
-    return start + closed
+def message_end(lines: Column, start: Column, reach: int = PROTO_REACH) -> Column:
+    """First later line, within ``reach``, with no block of ``start`` open; else ``start``."""
+    body = F.slice(lines, start + 1, F.greatest(F.lit(0), F.least(F.lit(reach - 1), F.size(lines) - start)))
+    return start + _first_closed(body, F.lit(True), brace_balance(F.element_at(lines, start)))
 
 
 def indent_end(lines: Column, start: Column) -> Column:
@@ -113,7 +119,7 @@ def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
     end = (
         F.when(F.col("language") == "python", indent_end(F.col("lines"), F.col("line_start")))
         .when((F.col("language") == "proto") & (F.col("type") == "function"), F.col("line_start"))
-        .when(F.col("language") == "proto", brace_end(F.col("lines"), F.col("line_start"), PROTO_REACH))
+        .when(F.col("language") == "proto", message_end(F.col("lines"), F.col("line_start")))
         .otherwise(brace_end(F.col("lines"), F.col("line_start")))
     )
     return rows.withColumn("line_end", end).withColumn(
