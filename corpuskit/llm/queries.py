@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuskit.llm import rules
+from corpuskit.llm import rules, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op5_quality_rules, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
