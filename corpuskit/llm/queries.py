@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuskit.llm import rules, simhash
+from corpuskit.llm import packing, rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _byte_bpe() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _byte_bpe())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _byte_bpe(), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -25,7 +41,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
