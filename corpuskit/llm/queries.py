@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import packing, rules, simhash, tokens
+from corpuskit.llm import packing, rules, sharding, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,12 +36,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op8_label_propagation_shards, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
