@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import packing, rules, sharding, simhash, tokens
+from corpuskit.llm import chat, packing, rules, sharding, simhash, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,18 +36,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A conversation that holds the control strings of usual templates.
+_CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], turns.schema)
+    return chat.digest(chat.expand(turns.unionByName(control)))
+
+
 def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op8_label_propagation_shards, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.SQL}
+    return {"op5_quality_rules": rules.SQL, "op7_prefix_target_chat": chat.SQL, "op9_seekable_warc": warc.SQL}
