@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import chat, packing, rules, sharding, simhash, tokens, warc
+from corpuskit.llm import chat, decontamination, packing, rules, sharding, simhash, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _byte_bpe(), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -61,7 +65,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op4_vector_packing, op5_quality_rules, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
