@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import chat, decontamination, packing, rules, sharding, simhash, tokens, warc
+from corpuskit.llm import chat, decontamination, packing, rules, sharding, simhash, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 #: A conversation that holds the control strings of usual templates.
 _CONTROL = r"\### Assistant: </turn> ok"
 
@@ -65,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op6_pu_toxicity, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
