@@ -22,10 +22,10 @@ from pyspark.sql.functions import pandas_udf
 from corpuskit.session import materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
-_STARTS = (4,)
+_STARTS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Least G statistic of a feature; chance alone exceeds it for one in 120.
-SURE = 7.0
+#: Least G statistic of a feature; chance alone exceeds it for one in 600.
+SURE = 10.0
 #: Words whose features a worker remembers.
 KEPT = 1 << 19
 
@@ -69,10 +69,11 @@ def features(text: str | None) -> set[int]:
     return {f for w in set(_WORD.findall((text or "").lower())) for f in features_of(w)}
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 2e-3) -> tuple[float, np.ndarray]:
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, strength: float = 0.3) -> tuple[float, np.ndarray]:
     """Bias and weights that minimise the non-negative risk (logistic loss, Adam).
 
     ``pos`` and ``unl`` have a row per example and a 0/1 column per feature.
+    ``strength`` pulls weights to zero; it counts as one part of the positives.
     """
     add = lambda x: np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     pos, unl = add(pos), add(unl)
@@ -87,7 +88,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate
         rest = (unl.T @ _logistic(fu).astype(np.float32)) / len(unl) - prior * as_neg
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         slope = prior * as_pos + rest if negative >= 0 else -rest
-        slope[:-1] += decay * w[:-1]
+        slope[:-1] += strength / len(pos) * w[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
