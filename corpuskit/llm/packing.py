@@ -11,6 +11,7 @@ at most one sequence with room for more tokens, unless another limit binds.
 from __future__ import annotations
 
 import itertools
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -21,10 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.tokens import merge
 from corpuskit.llm.vocabulary import Vocabulary
 
 #: Word-to-ids entries that a worker keeps.
-KEPT = 1 << 18
+KEPT = 1 << 19
+#: Characters of text whose ids are held at once.
+HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -38,26 +42,29 @@ class Limits:
 
 
 class Encoder:
-    """Token ids of texts, as the vocabulary's own library gives them."""
+    """Token ids of texts, equal to those that the vocabulary's library gives."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
 
-    def ids(self, text: str) -> np.ndarray:
-        known, parts = self.known, []
-        for part in self.vocabulary.pre_tokens(text):
-            if isinstance(part, int):
-                parts.append(np.array([part], np.uint32))
-                continue
-            new = [w for w in set(part) if w not in known]
-            if new:
-                if len(known) > KEPT:
-                    known.clear()
-                    new = list(set(part))
-                found = self.vocabulary.library.encode_batch_fast(new, add_special_tokens=False)
-                known.update(zip(new, (e.ids for e in found), strict=True))
-            parts.append(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, part)), np.uint32))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    def _learn(self, words: list[str]) -> None:
+        symbols, sizes = merge(self.vocabulary, [w.encode() for w in words])
+        flat, ends = symbols.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+        self.known.update(zip(words, map(flat.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the pre-tokens of all texts are merged together."""
+        parts = [list(self.vocabulary.pre_tokens(t)) for t in texts]
+        words = set().union(*(p for doc in parts for p in doc if isinstance(p, list)))
+        new = list(words.difference(self.known))
+        if new and len(self.known) > KEPT:
+            self.known.clear()
+            new = list(words)
+        if new:
+            self._learn(new)
+        get = self.known.__getitem__
+        join = lambda doc: b"".join(b"".join(map(get, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in doc)
+        return [np.frombuffer(join(doc), "<u4") for doc in parts]
 
 
 class Packer:
@@ -165,11 +172,23 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_
         encoder, packer = Encoder(Vocabulary.load(content)), Packer(limits)
         number = itertools.count(TaskContext.get().partitionId() << 32)
         out: list[tuple] = []
+        end = np.array([end_id], "<u4")
+
+        def encoded(encoder: Encoder, batch: pd.DataFrame) -> Iterator[tuple]:
+            rows = deque(zip(batch["id"].astype(object), batch["context"], batch["text"], strict=True))
+            while rows:
+                some = [rows.popleft()]
+                size = len(some[0][2])
+                while rows and size + len(rows[0][2]) <= HELD:
+                    some.append(rows.popleft())
+                    size += len(some[-1][2])
+                ids = encoder.ids([x for row in some for x in row[1:]])
+                yield from zip((row[0] for row in some), ids[::2], ids[1::2], strict=True)
 
         def done(sequence: list[tuple]) -> None:
             which, offset = next(number), 0
             for (rid, total), start, ids, loss in sequence:
-                out.append((rid, start, len(ids), ids.astype("<u4").tobytes(), loss, total, which, offset))
+                out.append((rid, start, len(ids), ids.tobytes(), loss, total, which, offset))
                 offset += len(ids)
 
         def flush() -> pd.DataFrame:
@@ -178,12 +197,11 @@ def pack(docs: DataFrame, path: str, end_id: int, limits: Limits = Limits(), id_
             return frame
 
         for batch in batches:
-            for rid, text, context in zip(batch["id"].tolist(), batch["text"], batch["context"], strict=True):
-                ahead = encoder.ids(context)
-                ids = np.concatenate([ahead, encoder.ids(text), np.array([end_id], np.uint32)])
+            for rid, ahead, body in encoded(encoder, batch):
+                ids = np.concatenate([ahead, body, end])
                 for start in range(0, len(ids), limits.tokens):
                     part = ids[start : start + limits.tokens]
-                    piece = ((None if rid is pd.NA or rid != rid else rid, len(ids)), start, part, min(len(part), max(0, start + len(part) - len(ahead))))
+                    piece = ((None if pd.isna(rid) else rid, len(ids)), start, part, min(len(part), max(0, start + len(part) - len(ahead))))
                     for sequence in packer.place(piece):
                         done(sequence)
                 if len(out) >= 2048:

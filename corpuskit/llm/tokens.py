@@ -24,34 +24,42 @@ HELD = 1 << 21
 KEPT = 1 << 19
 
 
-def surviving(vocabulary: Vocabulary, sequences: list[bytes]) -> np.ndarray:
-    """Symbols left of each byte sequence after all merges (none is empty)."""
-    out = np.zeros(len(sequences), np.int64)
+def merge(vocabulary: Vocabulary, sequences: list[bytes], symbols_too: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols left of all byte sequences, one after another, and how many of each.
+
+    No sequence may be empty.  Without ``symbols_too`` only the numbers count.
+    """
+    left = np.zeros(len(sequences), np.int64)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
     symbols = vocabulary.of_byte[np.frombuffer(b"".join(sequences), np.uint8)]
     which = np.arange(len(sequences))
-    never = len(vocabulary.keys)
+    never = vocabulary.n_merges
     while len(which):
         ends = np.cumsum(sizes) - 1
-        pairs = symbols * vocabulary.size + np.append(symbols[1:], 0)
-        at = np.minimum(np.searchsorted(vocabulary.keys, pairs), never - 1)
-        rank = np.where(vocabulary.keys[at] == pairs, vocabulary.ranks[at], never)
+        at = vocabulary.find_pairs(symbols * vocabulary.size + np.append(symbols[1:], 0))
+        rank = vocabulary.rank[at]
         rank[ends] = never
         best = np.minimum.reduceat(rank, ends - sizes + 1)
         going = best < never
-        out[which[~going]] = sizes[~going]
-        chosen = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank < never))
+        left[which[~going]] = sizes[~going]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        stays = going[owner]
+        if symbols_too:
+            done.append((which[owner[~stays]], symbols[~stays]))
+        chosen = np.flatnonzero((rank == best[owner]) & (rank < never))
         # Overlapping places ("aaa") are taken from the left, every other one.
         run = np.flatnonzero(np.diff(chosen, prepend=-2) != 1)
         lengths = np.diff(np.append(run, len(chosen)))
         chosen = chosen[(chosen - np.repeat(chosen[run], lengths)) % 2 == 0]
         symbols[chosen] = vocabulary.merged[at[chosen]]
-        stays = np.repeat(going, sizes)
         stays[chosen + 1] = False
-        owner = np.repeat(np.arange(len(which)), sizes)
         sizes = np.bincount(owner[stays], minlength=len(which))[going]
         symbols, which = symbols[stays], which[going]
-    return out
+    if not symbols_too or not done:
+        return np.zeros(0, np.int64), left
+    owners = np.concatenate([d[0] for d in done])
+    return np.concatenate([d[1] for d in done])[np.argsort(owners, kind="stable")], left
 
 
 class Counter:
@@ -62,13 +70,13 @@ class Counter:
 
     def _count(self, texts: list[str]) -> list[int]:
         parts = [list(self.vocabulary.pre_tokens(t)) for t in texts]
-        new = {w for doc in parts for p in doc if isinstance(p, list) for w in p if w not in self.known}
+        words = set().union(*(p for doc in parts for p in doc if isinstance(p, list)))
+        new = list(words.difference(self.known))
+        if new and len(self.known) > KEPT:
+            self.known.clear()
+            new = list(words)
         if new:
-            if len(self.known) > KEPT:
-                self.known = {}
-                new = {w for doc in parts for p in doc if isinstance(p, list) for w in p}
-            words = list(new)
-            self.known.update(zip(words, surviving(self.vocabulary, [w.encode() for w in words]).tolist(), strict=True))
+            self.known.update(zip(new, merge(self.vocabulary, [w.encode() for w in new], False)[1].tolist(), strict=True))
         get = self.known.__getitem__
         return [sum(sum(map(get, p)) if isinstance(p, list) else 1 for p in doc) for doc in parts]
 
