@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import chat, decontamination, packing, rules, sharding, simhash, tokens, toxicity, warc
+from corpuskit.llm import chat, decontamination, packing, pii, rules, sharding, simhash, tokens, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Stands in for the secret that a job would pass.
+KEY = "a key of the job's own"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +25,10 @@ def _byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), _byte_bpe())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -70,7 +78,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op6_pu_toxicity, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op6_pu_toxicity, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
 
 
 def sql() -> dict[str, str]:
