@@ -57,7 +57,7 @@ def expand(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     ends = F.filter(F.sequence(F.lit(1), F.size("written")), lambda i: F.col("written")[i - 1]["trained"] | (i == F.size("written")))
     formed = whole.select(conv_col, written.alias("written")).withColumn("ends", ends)
     # Only places are exploded; each example joins its own prefix.
-    each = formed.select(conv_col, "written", F.size("written").alias("n_turns"), F.posexplode("ends").alias("example", "end"))
+    each = formed.select(conv_col, "written", F.size("written").alias("n_turns"), F.posexplode_outer("ends").alias("example", "end"))
     target = F.col("written")[F.col("end") - 1]
     text = F.array_join(F.transform(F.slice("written", 1, F.col("end")), lambda t: t["text"]), "")
     whole_length = F.length("formatted") - len(_CLOSE)

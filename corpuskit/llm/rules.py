@@ -117,7 +117,10 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: st
     judged = measured.withColumns({
         "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         "failed_rules": failed,
-    }).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    })
+    # A filter on the verdict must not be pushed below it, where it would compute all measures again.
+    once = F.monotonically_increasing_id() >= 0
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & once)
     return judged.select(*stay, *added[:5], *[r.measure for r in rules], *added[5:8])
 
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-A fingerprint of 64 bits is cut into two segments.  Two fingerprints with at
-most three differing bits have a segment with at most one of them.  Every
+A fingerprint is cut into segments, fewer than the bits that may differ: of two
+fingerprints with at most three differing bits, one half differs by at most one.  Every
 segment is indexed as it is; every fingerprint also asks for its segments with
 one set bit deleted.  An equality join on segment values brings together the
 pairs that agree there but for one bit, and only those are verified.  Equal
@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -25,8 +25,10 @@ from corpuskit.session import materialize
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _BLOCK = 1 << 16
-HALF = (1 << 32) - 1
+CUTS = (32, 32)
 MAX_BITS = 3
+# Near copies by 128 bits of 5-word shingles: 20 differing bits are a similarity of about 0.8.
+NEAR_SIZE, NEAR_CUTS, NEAR_BITS = 5, (21, 21, 22), 20
 
 
 def shingles(text: str, size: int) -> list[str]:
@@ -47,6 +49,16 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(parts), bitorder="little").view("<i8")[0])
 
 
+def wide_fingerprint(text: str | None, size: int = NEAR_SIZE) -> tuple[int, int]:
+    """As ``fingerprint``, with 128 bits in two words."""
+    parts = shingles(text or "", size)
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(parts), _BLOCK):
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in parts[i : i + _BLOCK]]), np.uint8)
+        counts += np.unpackbits(hashes.reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(counts * 2 > len(parts), bitorder="little").view("<i8").tolist())
+
+
 def with_fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", name: str = "fp") -> DataFrame:
     """``docs`` with a signed 64-bit fingerprint of each whole text."""
 
@@ -57,26 +69,34 @@ def with_fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", na
     return docs.withColumn(name, of(F.col(text_col)))
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of distinct ``fp`` with at most three differing bits, each once."""
-    low, high = F.col("fp").bitwiseAND(F.lit(HALF)), F.shiftrightunsigned("fp", 32)
-    # The segment's number is the 33rd bit of the key.
-    keys = F.array(low, high.bitwiseOR(F.lit(1 << 32)))
-    index = prints.select(F.col("fp").alias("u"), F.explode(keys).alias("key"))
+def links(prints: DataFrame, node: str = "fp", words: tuple[str, ...] = ("fp",), cuts: tuple[int, ...] = CUTS, bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``(u, v)`` of ``node`` whose fingerprints differ in at most ``bits``, each once.
+
+    A fingerprint is the 64-bit ``words``, each cut into segments of the widths
+    ``cuts``.  All pairs are found if ``bits`` is below twice the number of
+    segments; beyond that, those with a segment that differs by at most one bit.
+    """
+    places = [(w, sum(cuts[:i]), cuts[i]) for w in words for i in range(len(cuts))]
+    part = lambda c, at, width: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
+    pick = lambda side: [F.col(w).alias(f"{side}{i}") for i, w in enumerate(words)]
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), part(F.col(w), at, width).alias("x"), F.lit(width).alias("width")) for s, (w, at, width) in enumerate(places)])
+    index = prints.select(F.col(node).alias("u"), *pick("u"), F.explode(keys).alias("k")).select("u", *[f"u{i}" for i in range(len(words))], "k.s", "k.x")
+    one = lambda x, s, same: F.struct(s.alias("s"), x.alias("x"), F.lit(same).alias("same"))
     deleted = F.flatten(F.transform(keys, lambda k: F.concat(
-        F.array(F.struct(k.alias("key"), F.lit(True).alias("same"))),
+        F.array(one(k["x"], k["s"], True)),
         F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("getbit", k, i) == 1),
-            lambda i: F.struct(k.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("key"), F.lit(False).alias("same")),
+            F.filter(F.sequence(F.lit(0), k["width"] - 1), lambda i: F.call_function("getbit", k["x"], i) == 1),
+            lambda i: one(k["x"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), k["s"], False),
         ),
     )))
-    asked = prints.select(F.col("fp").alias("v"), F.explode(deleted).alias("k")).select("v", "k.key", "k.same")
-    differ = F.col("u").bitwiseXOR(F.col("v"))
-    close = F.bit_count(differ) <= MAX_BITS
-    # A pair that agrees in both segments but for a bit is taken from the first.
-    first = (F.col("key") <= HALF) | (F.bit_count(differ.bitwiseAND(F.lit(HALF))) > 1)
+    asked = prints.select(F.col(node).alias("v"), *pick("v"), F.explode(deleted).alias("k")).select("v", *[f"v{i}" for i in range(len(words))], "k.s", "k.x", "k.same")
+    differ = {w: F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}")) for i, w in enumerate(words)}
+    close = sum((F.bit_count(d) for d in differ.values()), F.lit(0)) <= bits
+    # A pair that agrees but for a bit in several segments is taken from the first.
+    for s, (w, at, width) in enumerate(places[:-1]):
+        close &= (F.col("s") <= s) | (F.bit_count(part(differ[w], at, width)) > 1)
     once = ~F.col("same") | (F.col("u") < F.col("v"))
-    return index.join(asked, "key").where(once & close & first).select("u", "v")
+    return index.join(asked, ["s", "x"]).where(once & close).select("u", "v")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -103,3 +123,34 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     prints = materialize(slim.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprints")
     found = slim.join(classes(prints), "fp")
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies, with their columns as they were.
+
+    Texts are linked if the 128-bit fingerprints of their 5-word shingles have
+    at most 20 differing bits, of which a segment holds at most one: about a
+    similarity of 0.8.  The row with the smallest id stays; a NULL id comes
+    last, ties go by a hash of the text, equal rows by chance.  Texts without
+    words are copies of each other.  An empty table gives an empty table.
+    """
+    @pandas_udf("a long, b long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wide_fingerprint(t) for t in texts], columns=["a", "b"], dtype="int64")
+
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("fp")).select("id", "h", "fp.a", "fp.b")
+    slim = materialize(slim, "near-rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
+    prints = slim.groupBy("a", "b").agg(best).select(F.monotonically_increasing_id().alias("node"), "a", "b", "best")
+    prints = materialize(prints, "near-prints")
+    roots = components(links(prints, "node", ("a", "b"), NEAR_CUTS, NEAR_BITS), "near-roots")
+    of_node = prints.select("node", "best").join(roots, "node", "left")
+    stay = of_node.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
+    # NULL ids are joined as well: by a flag and a value that stands for them.
+    keys = lambda c, h: {"__none": c.isNull(), "__id": F.coalesce(c.cast("string"), F.lit("")), "__h": h}
+    stay = stay.select(*[v.alias(k) for k, v in keys(F.col("id"), F.col("h")).items()]).distinct()
+    kept = docs.select(F.struct(*docs.columns).alias("__row"), *[v.alias(k) for k, v in keys(F.col(id_col), hashed).items()]).join(stay, ["__none", "__id", "__h"])
+    # Equal rows come to the same key; one of them stays.
+    number = F.row_number().over(Window.partitionBy("__none", "__id", "__h").orderBy("__h"))
+    return kept.withColumn("__n", number).where("__n = 1").select("__row.*")
