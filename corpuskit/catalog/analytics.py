@@ -149,12 +149,12 @@ def e22_counts(t):
 @query("E23_file_index", r"""
     SELECT f.*, coalesce(s.n, 0) AS symbol_count, coalesce(c.n, 0) AS chunk_count, c.a AS first_chunk, c.b AS last_chunk FROM (
       SELECT source AS repo, 'file_' || doc_id % 211 AS file, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS line_count, CAST(sum(greatest(1, len(regexp_extract_all(text, '\S+')))) AS BIGINT) AS token_count FROM documents GROUP BY 1, 2) f
-    LEFT JOIN (SELECT repo, 'file_' || doc_id % 211 AS file, count(*) AS n FROM @symbols@ WHERE type <> 'enum' GROUP BY ALL) s ON f.repo = s.repo AND f.file = s.file
-    LEFT JOIN (SELECT repo, file, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b FROM @chunk_rows@ WHERE content_type <> 'odd' GROUP BY ALL) c ON f.repo = c.repo AND f.file = c.file""")
+    LEFT JOIN (SELECT repo, 'file_' || doc_id % 211 AS file, count(*) AS n FROM @symbols@ GROUP BY ALL) s ON f.repo = s.repo AND f.file = s.file
+    LEFT JOIN (SELECT repo, file, count(*) AS n, min(chunk_id) AS a, max(chunk_id) AS b FROM @chunk_rows@ GROUP BY ALL) c ON f.repo = c.repo AND f.file = c.file""")
 def e23(t):
     file = F.concat(F.lit("file_"), F.col("doc_id") % 211)
     files = t.documents.select(F.col("source").alias("repo"), file.alias("file"), "text")
-    return A.file_index(files, t.symbols.where("type <> 'enum'").withColumn("file", file), t.chunk_rows.where("content_type <> 'odd'"))
+    return A.file_index(files, t.symbols.withColumn("file", file), t.chunk_rows)
 
 
 @query("E27_job_progress", """

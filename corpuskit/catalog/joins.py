@@ -22,10 +22,10 @@ oracle_table("words_known", r"SELECT DISTINCT w AS hay FROM (SELECT unnest(regex
 
 @query("J5_symbol_name_join", f"""
     SELECT doc_id, name_asked, k.repo, k.file, k.name, CASE WHEN k.repo = a.repo_hint THEN 0.95 ELSE 0.90 END AS confidence
-    FROM (SELECT doc_id, upper(name) AS name_asked, CASE WHEN doc_id % 2 = 0 THEN repo END AS repo_hint FROM @symbols@ WHERE name LIKE 'Get%') a
+    FROM (SELECT doc_id, upper(name) AS name_asked, CASE WHEN doc_id % 2 = 0 THEN repo END AS repo_hint FROM @symbols@) a
     JOIN @sym_keys@ k ON k.key = {NORM_SQL.format('name_asked')}""")
 def j5(t):
-    asked = t.symbols.where(F.col("name").startswith("Get")).select(
+    asked = t.symbols.select(
         "doc_id", F.upper("name").alias("name_asked"), F.when(F.col("doc_id") % 2 == 0, F.col("repo")).alias("repo_hint"))
     return L.exact_symbols(asked, t.symbols).drop("repo_hint")
 

@@ -268,7 +268,7 @@ def r17(t):
         F.transform("embedding", lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x), 3).alias("norm"))
 
 
-@query("V2_pluggable_embedder", "SELECT doc_id, length(substr(text, 1, 4096)) AS first_value, 2 AS dims FROM documents")
+@query("V2_pluggable_embedder", "SELECT doc_id, length(text) AS first_value, 2 AS dims FROM documents")
 def v2(t):
     from corpuskit.operators.udfs import length_embedder
 

@@ -113,15 +113,15 @@ def k3(t):
 
 
 @query("K4_keyed_upsert", """
-    SELECT content_hash, doc_id, 'new' AS state FROM (SELECT sha256(text) AS content_hash, max(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
-    UNION ALL SELECT content_hash, doc_id, 'old' FROM (SELECT sha256(text) AS content_hash, max(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1)
-    WHERE content_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)""")
+    SELECT content_hash, doc_id, 'new' AS state FROM (SELECT sha256(text) AS content_hash, max(doc_id) AS doc_id FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1)
+    UNION ALL SELECT content_hash, doc_id, 'old' FROM (SELECT sha256(text) AS content_hash, max(doc_id) AS doc_id FROM documents WHERE doc_id % 3 < 2 GROUP BY 1)
+    WHERE content_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 <> 1)""")
 def k4(t):
     path = run_dir(t.spark, "cache")
     rows = t.documents.select(F.sha2("text", 256).alias("content_hash"), "doc_id")
-    old = top_rows(rows.where("doc_id % 2 = 0"), ["content_hash"], [F.desc("doc_id")], 1, "r").drop("r")
+    old = top_rows(rows.where("doc_id % 3 < 2"), ["content_hash"], [F.desc("doc_id")], 1, "r").drop("r")
     old.withColumn("state", F.lit("old")).write.parquet(f"{path}/v1")
-    new = rows.where("doc_id % 3 = 0").withColumn("state", F.lit("new"))
+    new = rows.where("doc_id % 3 <> 1").withColumn("state", F.lit("new"))
     K.upsert(t.spark.read.parquet(f"{path}/v1"), new, ["content_hash"], [F.desc("doc_id")]).write.parquet(f"{path}/v2")
     return t.spark.read.parquet(f"{path}/v2")
 

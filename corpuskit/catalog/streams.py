@@ -68,10 +68,12 @@ def z5(t):
     return t.spark.read.parquet(f"{path}/out").select("gen_id", "violation")
 
 
-@query("Z6_running_progress", "SELECT event_type, count(*) AS done, count(*) FILTER (value < 5) AS failed FROM events GROUP BY event_type")
+@query("Z6_running_progress", """
+    SELECT event_type, count(*) AS done, count(*) FILTER (value < 5) AS failed, round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS per_second,
+      CAST(floor(greatest(0, 50000 - count(*)) / (count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6))) AS BIGINT) AS eta_s FROM events GROUP BY event_type""")
 def z6(t):
     path = run_dir(t.spark, "progress")
-    return J.track_progress(_stream(t, "events"), f"{path}/parts", f"{path}/checkpoint", "event_type", F.col("value") < 5).select("event_type", "done", "failed")
+    return J.track_progress(_stream(t, "events"), f"{path}/parts", f"{path}/checkpoint", "event_type", F.col("value") < 5, 50_000).select("event_type", "done", "failed", "per_second", "eta_s")
 
 
 @query("Z7_activity_windows", """

@@ -34,9 +34,13 @@ def frontmatter(**fields: Column | list) -> Column:
     return F.concat(F.concat_ws("\n", *lines, F.lit("---")), F.lit("\n"))
 
 
+def seconds_between(later: Column, earlier: Column) -> Column:
+    """Seconds with microseconds; clock times are subtracted as they are, in no time zone."""
+    return (later - earlier).cast("decimal(20,6)")
+
+
 def days_between(later: Column, earlier: Column) -> Column:
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return micros / F.lit(86400e6)
+    return seconds_between(later.cast("timestamp_ntz"), earlier.cast("timestamp_ntz")).cast("double") / 86400
 
 
 def score_of(distance: Column, metric: str = "cosine") -> Column:

@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from corpuskit.functions.text import clip, first_present, repo_from_name, search_tokens
 
-EMBED_CHARS = 4096
 MIN_POINTS = 3
 
 
 def hashed_embedding(rows: DataFrame, text: str = "text", dims: int = 256, out: str = "embedding") -> DataFrame:
-    """Default embedder: hashed words, weighted by rarity, unit length.
+    """Default embedder: hashed words of the whole text, weighted by rarity, unit length.
 
     Deterministic and model-free.  A text without words gets an empty vector,
     as a failed embedding does.
     """
-    words = rows.withColumn("__w", search_tokens(clip(F.col(text), EMBED_CHARS)))
+    words = rows.withColumn("__w", search_tokens(F.col(text)))
     counted = HashingTF(inputCol="__w", outputCol="__tf", numFeatures=dims).transform(words)
     weighted = IDF(inputCol="__tf", outputCol="__idf").fit(counted).transform(counted)
     unit = Normalizer(inputCol="__idf", outputCol="__v").transform(weighted)
@@ -27,11 +26,17 @@ def hashed_embedding(rows: DataFrame, text: str = "text", dims: int = 256, out:
     return unit.withColumn(out, vector).drop("__w", "__tf", "__idf", "__v")
 
 
-def embed(rows: DataFrame, text: str = "text", embedder=None, out: str = "embedding") -> DataFrame:
-    """Add a vector column: by ``embedder`` (an iterator pandas UDF to ``array<float>``) or the default."""
-    if embedder is None:
+def embed(rows: DataFrame, text: str = "text", embedder=None, out: str = "embedding", max_chars: int | None = None) -> DataFrame:
+    """Add a vector column: by ``embedder`` (an iterator pandas UDF to ``array<float>``) or the default.
+
+    ``max_chars`` is for models that take no longer text; unless given, all of it is read.
+    """
+    if embedder is None and max_chars is None:
         return hashed_embedding(rows, text, out=out)
-    return rows.withColumn(out, embedder(clip(F.col(text), EMBED_CHARS)))
+    source = F.col(text) if max_chars is None else clip(F.col(text), max_chars)
+    if embedder is None:
+        return hashed_embedding(rows.withColumn("__text", source), "__text", out=out).drop("__text")
+    return rows.withColumn(out, embedder(source))
 
 
 def map_points(vectors: DataFrame, key: str = "vec_id") -> tuple[DataFrame, list[float]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.functions.formats import seconds_between
 from corpuskit.functions.text import token_count
 from corpuskit.plans.history import recent
 
@@ -68,10 +69,14 @@ def tag_index(rows: DataFrame, key: str, tags: Column) -> DataFrame:
 def progress(log: DataFrame, by: str, total: int | Column) -> DataFrame:
     """Items done per ``by``, rate per second and seconds left, from a job's event log (``ts``)."""
     done = log.groupBy(by).agg(F.count("*").alias("done"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    seconds = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
-    rate = F.col("done") / seconds
+    return with_rate(done, total).select(by, "done", "per_second", "eta_s")
+
+
+def with_rate(done: DataFrame, total: int | Column) -> DataFrame:
+    """Counts (``done``, first and last time ``t0, t1``) with ``per_second`` and ``eta_s``; both NULL while no time has passed."""
+    rate = F.col("done") / F.nullif(seconds_between(F.col("t1"), F.col("t0")).cast("double"), F.lit(0.0))
     whole = F.lit(total) if isinstance(total, int) else total
-    return done.select(by, "done", F.round(rate, 6).alias("per_second"), F.floor(F.greatest(F.lit(0), whole - F.col("done")) / rate).alias("eta_s"))
+    return done.withColumn("per_second", F.round(rate, 6)).withColumn("eta_s", F.floor(F.greatest(F.lit(0), whole - F.col("done")) / rate))
 
 
 def generation_stats(runs: DataFrame, key: str) -> DataFrame:

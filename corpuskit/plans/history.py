@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.functions.formats import seconds_between
 from corpuskit.operators.scan import ordered_scan, top_rows
 
 SOURCES_TYPE = "array<struct<filename:string,snippet:string,score:double>>"
@@ -49,8 +50,8 @@ def memory_block(turns: DataFrame, keep: int = 8) -> DataFrame:
 def since_previous(log: DataFrame, keys: list[str], order: list[str], bucket: Column) -> DataFrame:
     """Log rows with the milliseconds since the row before them of the same key."""
     linked = ordered_scan(log, keys, order, bucket, before={"prev_ts": F.col("ts")})
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
-    return linked.withColumn("gap_ms", F.round(gap / 1000, 3))
+    gap = seconds_between(F.col("ts"), F.col("prev_ts")).cast("double")
+    return linked.withColumn("gap_ms", F.round(gap * 1000, 3))
 
 
 def heatmap(history: DataFrame, n: int = 200) -> DataFrame:

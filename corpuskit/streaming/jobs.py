@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators.scan import top_rows
+from corpuskit.plans.analytics import with_rate
 from corpuskit.plans.answers import ledger, validate
 from corpuskit.sources.sinks import append_unseen
 
@@ -93,15 +94,16 @@ def validate_stream(generations: DataFrame, contexts: DataFrame, path: str, chec
     catch_up(generations, checkpoint, check)
 
 
-def track_progress(stream: DataFrame, path: str, checkpoint: str, by: str, failed: Column) -> DataFrame:
-    """Rows done and failed per ``by`` so far, from one small row set per batch."""
+def track_progress(stream: DataFrame, path: str, checkpoint: str, by: str, failed: Column, total: int | Column) -> DataFrame:
+    """Rows done and failed per ``by`` so far, their rate and the seconds left of ``total``, from one small row set per batch."""
     def count(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy(by).agg(F.count("*").alias("done"), F.count_if(failed).alias("failed"), F.min("ts").alias("t0"), F.max("ts").alias("t1")).write.mode(
             "overwrite").parquet(f"{path}/batch={batch_id}")
 
     catch_up(stream, checkpoint, count)
     parts = stream.sparkSession.read.parquet(path)
-    return parts.groupBy(by).agg(F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    sums = parts.groupBy(by).agg(F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    return with_rate(sums, total)
 
 
 def activity_windows(stream: DataFrame, path: str, checkpoint: str, cap: int = 10, late: str = "1 day") -> None:
