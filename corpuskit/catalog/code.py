@@ -71,7 +71,7 @@ oracle_table("def_ends", r"""
           coalesce((SELECT max(a.n) FROM @line_depth@ a WHERE a.doc_id = d.doc_id AND a.solid AND a.n >= d.n AND a.n <
             coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND z.n > d.n AND z.solid AND z.indent <= d.indent AND NOT starts_with(ltrim(z.line), ')')), 1000000000)), d.n)
         WHEN k.language = 'proto' AND d.type = 'function' THEN d.n
-        ELSE coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND CASE WHEN k.language = 'proto' THEN z.n > d.n AND z.n < d.n + 200
+        ELSE coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND CASE WHEN k.language = 'proto' THEN z.n > d.n
               ELSE z.n >= d.n AND z.opens > coalesce((SELECT b.opens FROM @line_depth@ b WHERE b.doc_id = d.doc_id AND b.n = d.n - 1), 0) END
             AND z.depth <= coalesce((SELECT b.depth FROM @line_depth@ b WHERE b.doc_id = d.doc_id AND b.n = d.n - 1), 0)), d.n) END AS line_end
     FROM @defs@ d JOIN @kept_files@ k ON d.doc_id = k.doc_id""")

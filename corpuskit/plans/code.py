@@ -6,14 +6,14 @@ expression over its array of lines and needs no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions import tags as G
-from corpuskit.functions.text import comment_above, signature_text, strip, token_count
+from corpuskit.functions.text import signature_text, strip, token_count
+from corpuskit.operators.blocks import blocks
 from corpuskit.operators.scan import top_rows
 
-PROTO_REACH = 200
 # Definition patterns by language: (kind, pattern, group of the name, group of the owner).
 DEFINITIONS = {
     "python": (
@@ -45,53 +45,6 @@ DEFINITIONS["cpp"] = DEFINITIONS["c"]
 DEFINITIONS["typescript"] = DEFINITIONS["javascript"]
 
 
-def brace_balance(line: Column) -> Column:
-    opens = F.length(line) - F.length(F.replace(line, F.lit("{"), F.lit("")))
-    closes = F.length(line) - F.length(F.replace(line, F.lit("}"), F.lit("")))
-    return opens - closes
-
-
-def _first_closed(body: Column, opened: Column, depth: Column) -> Column:
-    """Place (from 1) of the first line after which an opened block is closed, else 0."""
-    state = F.struct(opened.alias("opened"), depth.alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
-
-    def step(s, line):
-        seen = s["opened"] | line.contains("{")
-        level = s["depth"] + brace_balance(line)
-        n = s["n"] + 1
-        return F.struct(seen.alias("opened"), level.alias("depth"), n.alias("n"),
-                        F.when((s["end"] == 0) & seen & (level <= 0), n).otherwise(s["end"]).alias("end"))
-
-    return F.aggregate(body, state, step)["end"]
-
-
-def brace_end(lines: Column, start: Column) -> Column:
-    """Line on which the first block opened at or after ``start`` (1-based) closes; else ``start``."""
-    body = F.slice(lines, start, F.size(lines) - start + 1)
-    return start + F.greatest(F.lit(0), _first_closed(body, F.lit(False), F.lit(0)) - 1)
-
-
-def message_end(lines: Column, start: Column, reach: int = PROTO_REACH) -> Column:
-    """First later line, within ``reach``, with no block of ``start`` open; else ``start``."""
-    body = F.slice(lines, start + 1, F.greatest(F.lit(0), F.least(F.lit(reach - 1), F.size(lines) - start)))
-    return start + _first_closed(body, F.lit(True), brace_balance(F.element_at(lines, start)))
-
-
-def indent_end(lines: Column, start: Column) -> Column:
-    """Last non-blank line of an indented block that starts at ``start`` (1-based)."""
-    def indent(line):
-        return F.length(line) - F.length(F.ltrim(line))
-
-    own = indent(F.element_at(lines, start))
-    rest = F.slice(lines, start + 1, F.size(lines))
-    # a signature may go on over lines up to the one that ends with a colon
-    leaves = F.transform(rest, lambda x: (strip(x) != "") & (indent(x) <= own) & ~F.ltrim(x).startswith(")"))
-    cut = F.array_position(leaves, True).cast("int")
-    inside = F.when(cut > 0, F.slice(rest, F.lit(1), cut - 1)).otherwise(rest)
-    trailing = F.array_position(F.transform(F.reverse(inside), lambda x: strip(x) != ""), True).cast("int")
-    return start + F.when(trailing > 0, F.size(inside) - trailing + 1).otherwise(0)
-
-
 def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
     """Definitions of source files: kind, name, owner, lines and source text.
 
@@ -114,16 +67,13 @@ def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
             part = F.when(F.col("language") == language, hits_of(kind, pattern, name_group, owner_group)).otherwise(F.array().cast("array<struct<line_start:int,type:string,name:string,owner:string>>"))
             found = part if found is None else F.concat(found, part)
     keep = [c for c in files.columns if c != "text"]
-    rows = files.select(*keep, lines.alias("lines"), F.explode_outer(found).alias("found_def")).where(
-        "found_def is not null").select(*keep, "lines", "found_def.*")  # outer: no filter that repeats the patterns
-    end = (
-        F.when(F.col("language") == "python", indent_end(F.col("lines"), F.col("line_start")))
-        .when((F.col("language") == "proto") & (F.col("type") == "function"), F.col("line_start"))
-        .when(F.col("language") == "proto", message_end(F.col("lines"), F.col("line_start")))
-        .otherwise(brace_end(F.col("lines"), F.col("line_start")))
-    )
-    return rows.withColumn("line_end", end).withColumn(
-        "source", F.array_join(F.slice("lines", F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n"))
+    field = lambda name: F.transform("found_defs", lambda d: d[name])
+    rows = files.select(*keep, "text", found.alias("found_defs"))
+    ended = rows.withColumn("b", blocks("text", "language", field("line_start"), field("type"), field("name")))
+    zipped = F.arrays_zip("found_defs", "b.end", "b.source", "b.above", "b.class_name", "b.in_function")
+    # Outer: no filter that repeats the patterns.
+    each = ended.select(*keep, F.explode_outer(zipped).alias("d")).where("d is not null")
+    return each.select(*keep, "d.found_defs.*", F.col("d.end").alias("line_end"), "d.source", "d.above", "d.class_name", "d.in_function")
 
 
 def with_owners(defs: DataFrame) -> DataFrame:
@@ -131,19 +81,12 @@ def with_owners(defs: DataFrame) -> DataFrame:
 
     Python functions inside functions are not symbols and are left out.
     """
-    scope = (F.col("type") == "class") | ((F.col("type") == "function") & (F.col("language") == "python"))
-    of_file = F.collect_list(F.when(scope, F.struct("line_start", "line_end", "name", "type"))).over(Window.partitionBy("repo", "path"))
-    around = F.filter("scopes", lambda c: (c["line_start"] < F.col("line_start")) & (c["line_end"] >= F.col("line_end")))
-    joined = defs.withColumn("scopes", of_file).withColumn("around", F.sort_array(around))
-    in_function = F.exists("around", lambda c: c["type"] == "function")
-    class_names = F.transform(F.filter("around", lambda c: c["type"] == "class"), lambda c: c["name"])
     ownable = (F.col("type") == "function") & F.col("language").isin("python", "javascript", "typescript")
     return (
-        joined.where(~((F.col("language") == "python") & in_function))
-        .withColumn("class_context", F.when(ownable, F.coalesce(F.try_element_at(class_names, F.lit(-1)), F.lit("")))
-                    .otherwise(F.col("owner")))
+        defs.where("not in_function")
+        .withColumn("class_context", F.when(ownable, F.coalesce("class_name", F.lit(""))).otherwise(F.col("owner")))
         .withColumn("type", F.when(ownable & (F.col("class_context") != ""), "method").otherwise(F.col("type")))
-        .drop("scopes", "around", "owner")
+        .drop("class_name", "in_function", "owner")
     )
 
 
@@ -152,9 +95,9 @@ def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame
     defs = definitions(files, patterns)
     language = F.col("language")
     is_go = language == "go"
-    doc_lines = F.slice("lines", F.col("line_start") + 1, F.col("line_end") - F.col("line_start"))
-    body_doc = F.regexp_extract(F.array_join(doc_lines, "\n"), r'^(?:[^\n]*:\n)?\s*(?:[rRbBuU]*)("""|\'\'\'|"|\')([\s\S]*?)\1', 2)
-    doc = F.when(is_go, comment_above(F.col("lines"), F.col("line_start"))).when(
+    below = F.when(F.col("line_end") > F.col("line_start"), F.regexp_replace("source", r"^[^\n]*\n", "")).otherwise("")
+    body_doc = F.regexp_extract(below, r'^(?:[^\n]*:\n)?\s*(?:[rRbBuU]*)("""|\'\'\'|"|\')([\s\S]*?)\1', 2)
+    doc = F.when(is_go, F.col("above")).when(
         language == "python", strip(body_doc)).otherwise("")
     signature = F.when((language == "python") & (F.col("type") == "class"), F.concat(F.lit("class "), "name")).when(
         language == "python", signature_text(F.col("source"))).otherwise("")
@@ -166,8 +109,7 @@ def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame
     probe = F.concat_ws(" ", "name", F.when(F.col("class_context").startswith("("), F.col("class_context")), "docstring",
                         F.substr("source", F.lit(1), reach))
     tagged = language.isin("python", "go", "c", "cpp")
-    # lines stay where they were read; only symbols move to their file's other symbols
-    defs = with_owners(defs.withColumn("docstring", doc).drop("lines"))
+    defs = with_owners(defs.withColumn("docstring", doc).drop("above"))
     return (
         defs.withColumn("signature", signature)
         .withColumn("qualified_name", F.concat(F.concat_ws("/", "repo", "path", F.concat(owner, "name"))))
@@ -190,18 +132,21 @@ def python_imports(files: DataFrame) -> DataFrame:
 
 
 def go_imports(files: DataFrame) -> DataFrame:
-    """Single and block imports of Go files, one row per path."""
-    rows = files.select("repo", "path", F.posexplode_outer(F.split("text", "\n")).alias("i", "raw")).withColumn("t", strip(F.col("raw")))
-    # Within a file: inside a block while the last bracket line was an opening one.
-    w = Window.partitionBy("repo", "path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("t") == "import (", 1).when(F.col("t") == ")", 0)
-    inside = F.coalesce(F.last(mark, True).over(w), F.lit(0)) == 1
-    quoted = F.regexp_extract("raw", r'^\s*(?:\w+\s+)?"([^"]+)"', 1)
-    single = F.regexp_extract("t", r'^import\s+"([^"]+)"', 1)
-    module = F.when(inside & (F.col("t") != ")") & (F.col("t") != "import ("), quoted).when(~inside, single).otherwise("")
-    return rows.withColumn("module", module).where("module <> ''").select(
-        "repo", "path", (F.col("i") + 1).alias("line"), F.concat(F.lit('import "'), "module", F.lit('"')).alias("statement"), "module",
-        F.lit("go").alias("form"))
+    """Single and block imports of Go files, one row per path; a file is read in place, line after line."""
+    def step(acc: Column, raw: Column) -> Column:
+        t = strip(raw)
+        quoted = F.regexp_extract(raw, r'^\s*(?:\w+\s+)?"([^"]+)"', 1)
+        single = F.regexp_extract(t, r'^import\s+"([^"]+)"', 1)
+        module = F.when(acc["inside"], F.when((t != ")") & (t != "import ("), quoted).otherwise("")).otherwise(single)
+        taken = F.when(module != "", F.concat(acc["found"], F.array(F.struct(acc["n"].alias("line"), module.alias("module"))))).otherwise(acc["found"])
+        inside = F.when(t == "import (", True).when(t == ")", False).otherwise(acc["inside"])
+        return F.struct(inside.alias("inside"), (acc["n"] + 1).alias("n"), taken.alias("found"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(1).alias("n"), F.array().cast("array<struct<line:int,module:string>>").alias("found"))
+    found = F.aggregate(F.split("text", "\n"), start, step, lambda acc: acc["found"])
+    rows = files.select("repo", "path", F.explode_outer(found).alias("i")).where("i is not null")
+    return rows.select(
+        "repo", "path", "i.line", F.concat(F.lit('import "'), "i.module", F.lit('"')).alias("statement"), "i.module", F.lit("go").alias("form"))
 
 
 def resolve_python(imports: DataFrame, packages: DataFrame) -> DataFrame:
