@@ -15,7 +15,7 @@ from corpuskit.plans import vault as V
 
 NORM_SQL = r"regexp_replace(lower({0}), '[_\-\s]+', '', 'g')"
 oracle_table("sym_keys", f"""
-    SELECT DISTINCT repo, file, name, key FROM (SELECT repo, file, name, {NORM_SQL.format('unnest(list_concat([name], regexp_extract_all(substr(source, 1, 300), $$[A-Z][A-Z_]{{2,}}$$)))')} AS key FROM @symbols@) WHERE key <> ''""")
+    SELECT DISTINCT repo, file, name, key FROM (SELECT repo, file, name, {NORM_SQL.format('unnest(list_concat([name], regexp_extract_all(source, $$[A-Z][A-Z_]{{2,}}$$)))')} AS key FROM @symbols@) WHERE key <> ''""")
 oracle_table("words_asked", r"SELECT DISTINCT w AS needle FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS w FROM benchmark)")
 oracle_table("words_known", r"SELECT DISTINCT w AS hay FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS w FROM documents)")
 
@@ -41,10 +41,10 @@ def j6(t):
 
 oracle_table("identifiers", rf"""
     SELECT doc, page, snippet_id AS item_id, nullif(function_name, '') AS identifier, 1.0 AS weight, 'function_name' AS match_type FROM @snippet_names@ WHERE function_name <> ''
-    UNION ALL SELECT doc, page, snippet_id, unnest(string_split(struct_names, '|')[1:3]), 0.8, 'struct_name' FROM @snippet_names@ WHERE struct_names <> ''
+    UNION ALL SELECT doc, page, snippet_id, unnest(string_split(struct_names, '|')), 0.8, 'struct_name' FROM @snippet_names@ WHERE struct_names <> ''
     UNION ALL SELECT doc, page, snippet_id, unnest(list_distinct(regexp_extract_all({C.ASCII_SQL.format('content')}, '\b([A-Z][A-Z_]{{3,}})\b', 1))), 0.5, 'constant_name' FROM @snippet_names@
-    UNION ALL SELECT doc, page, table_id, unnest(list_sort(list_distinct(flatten(list_transform(list_concat(headers, flatten(list_transform(rows[1:20], lambda r: list_transform(r, lambda c: c.value)))),
-       lambda x: regexp_extract_all({C.ASCII_SQL.format('x')}, '\b([A-Z][A-Z_0-9]{{2,}})\b', 1)))))[1:10]), 0.6, 'table_identifier' FROM @manual_tables@""")
+    UNION ALL SELECT doc, page, table_id, unnest(list_sort(list_distinct(flatten(list_transform(list_concat(headers, flatten(list_transform(rows, lambda r: list_transform(r, lambda c: c.value)))),
+       lambda x: regexp_extract_all({C.ASCII_SQL.format('x')}, '\b([A-Z][A-Z_0-9]{{2,}})\b', 1)))))), 0.6, 'table_identifier' FROM @manual_tables@""")
 oracle_table("snippet_names", r"""
     SELECT *, CASE language WHEN 'c' THEN regexp_extract(line, '^(?:\w[\w\s*]+\s+)(\w+)\s*\(', 1) WHEN 'go' THEN regexp_extract(line, '^func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)\s*\(', 1)
         WHEN 'python' THEN regexp_extract(line, '^def\s+(\w+)\s*\(', 1) END AS function_name FROM @snippets@""")

@@ -1,27 +1,26 @@
 """Exact nearest-neighbour search for a batch of queries.
 
-Scoring is one matrix product per Arrow batch.  A query set of checked, small
-size travels to the vectors by broadcast, so the vectors are read in place and
-never shuffled; a larger one is cut into blocks that meet blocks of vectors.
-Either way every task keeps only its own best ``k`` per query and group, and a
-window over those few rows gives the result.
+Queries are a stated set: they are cut into blocks of a fixed number, and each
+block travels to the vectors, which are read in place and never shuffled.
+Scoring is one matrix product per block of a batch.  Every task keeps only its
+own best ``k`` per query and group over all of its batches, and a window over
+those few rows gives the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators.scan import top_rows
 
-MAX_BROADCAST_QUERIES = 2_048
-VECTORS_PER_BLOCK = 200_000
+QUERIES_PER_BLOCK = 2_048
+VECTORS_PER_PRODUCT = 4_096
 _DIGITS = 9  # distances closer than this rank by id
 
 
@@ -31,7 +30,8 @@ def _best(ids, groups, matrix, query_ids, queries, limits, metric, allowed) -> p
     ids, groups, matrix = ids[order], groups[order], matrix[order]
     if metric == "cosine":
         norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(matrix, axis=1))
-        distance = 1.0 - (queries @ matrix.T) / norms
+        # A vector without length points nowhere; it ranks last, as far as any can be.
+        distance = np.where(norms > 0, 1.0 - (queries @ matrix.T) / np.where(norms > 0, norms, 1.0), 2.0)
     else:
         distance = (queries**2).sum(1)[:, None] + (matrix**2).sum(1)[None, :] - 2.0 * (queries @ matrix.T)
     distance = np.round(distance, _DIGITS)
@@ -52,6 +52,12 @@ def _best(ids, groups, matrix, query_ids, queries, limits, metric, allowed) -> p
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "grp": [], "vec_id": [], "distance": []})
 
 
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of each query and group."""
+    ordered = found.sort_values(["distance", "vec_id"], kind="stable")
+    return ordered[ordered.groupby(["query_id", "grp"], dropna=False).cumcount() < k]
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -97,26 +103,31 @@ def nearest(
             vec["vec_id"].to_numpy(), groups, np.stack(vec["embedding"]).astype("float64"), ask["query_id"].to_numpy(),
             np.stack(ask["query_vec"]).astype("float64"), (k.get if isinstance(k, dict) else lambda _: k), metric, allowed)
 
-    n_queries = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n_queries <= MAX_BROADCAST_QUERIES:
-        shipped = vectors.sparkSession.sparkContext.broadcast(queries.limit(MAX_BROADCAST_QUERIES).toPandas())
+    ceiling = k if isinstance(k, int) else max(k.values())
+    asked = queries.withColumn("__block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERIES_PER_BLOCK))
+
+    def against(block: pd.DataFrame) -> DataFrame:
+        shipped = vectors.sparkSession.sparkContext.broadcast(block)
 
         def in_place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
             for batch in batches:
-                yield score(batch, shipped.value)
-
-        found = vectors.mapInPandas(in_place, schema)
-    else:
-        q_blocks = math.ceil(queries.count() / MAX_BROADCAST_QUERIES)
-        v_blocks = math.ceil(vectors.count() / VECTORS_PER_BLOCK)
-        asks = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks)).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(v_blocks - 1).cast("bigint"))))
-        held = vectors.withColumn("vb", F.pmod(F.xxhash64("vec_id"), v_blocks)).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
-        found = held.groupBy("qb", "vb").cogroup(asks.groupBy("qb", "vb")).applyInPandas(
-            lambda vec, ask: score(vec, ask), schema)
-
-    ceiling = k if isinstance(k, int) else max(k.values())
+                for start in range(0, len(batch), VECTORS_PER_PRODUCT):
+                    found = score(batch.iloc[start : start + VECTORS_PER_PRODUCT], shipped.value)
+                    best = found if best is None else pd.concat([best, found])
+                    if len(best) > 2 * ceiling * len(shipped.value) + 100_000:
+                        best = _first(best, ceiling)
+            if best is not None:
+                yield _first(best, ceiling)
+
+        return vectors.mapInPandas(in_place, schema)
+
+    found = vectors.sparkSession.createDataFrame([], schema)
+    total = queries.count()
+    for n in range(-(-total // QUERIES_PER_BLOCK)):
+        # One block at a time is on the driver; a single one needs no numbering.
+        part = queries if total <= QUERIES_PER_BLOCK else asked.where(F.col("__block") == n).drop("__block")
+        found = found.unionByName(against(part.toPandas()))
     ranked = top_rows(found, ["query_id", "grp"], [F.col("distance"), F.col("vec_id")], ceiling)
     if isinstance(k, dict):
         limit = F.when(F.lit(False), 0)

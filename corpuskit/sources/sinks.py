@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,18 +71,30 @@ def patch(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFra
 
 def _write_files(root: str):
     def write(rows: Iterator) -> None:
+        files, top = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
         for row in rows:
-            target = os.path.join(root, row["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            target = f"{top}/{row['path']}"
+            folder = os.path.dirname(target)
+            if folder not in made:
+                files.create_dir(folder, recursive=True)
+                made.add(folder)
             # a retried task replaces the same file, so a lost executor leaves no torn note
             part = f"{target}.{uuid.uuid4().hex}.tmp"
-            with open(part, "w", encoding="utf-8") as out:
-                out.write(row["content"])
-            os.replace(part, target)
+            with files.open_output_stream(part, compression=None) as out:
+                out.write((row["content"] or "").encode())
+            files.move(part, target)
 
     return write
 
 
 def write_notes(notes: DataFrame, root: str) -> None:
-    """One markdown file per row of ``(path, content)`` below a folder all executors share."""
+    """One markdown file per row of ``(path, content)`` below a folder all executors share.
+
+    ``root`` is a path or a URI of any file system that the executors reach.
+    Two notes of one path would overwrite each other, so they raise.
+    """
+    twice = notes.groupBy("path").count().where("count > 1").select("path").head(3)
+    if twice:
+        raise ValueError(f"several notes have the path {', '.join(r.path for r in twice)}")
     notes.select("path", "content").foreachPartition(_write_files(root))

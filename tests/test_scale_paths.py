@@ -107,8 +107,8 @@ def test_blocked_vector_search_equals_broadcast(spark, monkeypatch):
         return sorted((r["query_id"], r["grp"], r["rank"], r["vec_id"]) for r in rows)
 
     small = run()
-    monkeypatch.setattr(vectors, "MAX_BROADCAST_QUERIES", 7)
-    monkeypatch.setattr(vectors, "VECTORS_PER_BLOCK", 25)
+    monkeypatch.setattr(vectors, "QUERIES_PER_BLOCK", 7)
+    monkeypatch.setattr(vectors, "VECTORS_PER_PRODUCT", 25)
     assert run() == small
     assert len(small) == 30 * 6
 
