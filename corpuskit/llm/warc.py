@@ -33,6 +33,8 @@ BUNDLE = 1 << 26
 LEAST = 100
 DATE = "1970-01-01T00:00:00Z"
 LEVEL = 3
+#: Bytes of records that a task reads back, about.
+SHARE = 1 << 24
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -233,7 +235,9 @@ def read_archive(index: DataFrame) -> DataFrame:
                         frame_rows["refers_to"] = frame_rows["refers_to"].astype("Int64")
                         yield frame_rows
 
-    return index.select("bundle", "frame").distinct().mapInPandas(run, schema)
+    # An index row is small and its frame is not, so tasks are cut by what the frames hold.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // SHARE))
+    return index.select("bundle", "frame").distinct().repartition(tasks, "bundle", "frame").mapInPandas(run, schema)
 
 
 def fetch(index: DataFrame, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
