@@ -119,6 +119,15 @@ def extract_symbols(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame
     )
 
 
+def symbol_rows(symbols: DataFrame) -> DataFrame:
+    """Extracted symbols as the later jobs take them: ``file`` for the path and an id per symbol in ``doc_id``.
+
+    The id is a hash of place and name, so it is the same in every run.
+    """
+    key = F.xxhash64("repo", "path", "line_start", "type", "name")
+    return symbols.drop("doc_id", "file").withColumn("doc_id", key).withColumn("file", F.col("path"))
+
+
 def python_imports(files: DataFrame) -> DataFrame:
     """``import x`` and ``from x import`` lines with their module."""
     rows = files.select("repo", "path", F.posexplode_outer(F.split("text", "\n")).alias("i", "raw")).withColumn("line_text", strip(F.col("raw")))
