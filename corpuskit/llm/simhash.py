@@ -6,16 +6,19 @@ segment is indexed as it is; every fingerprint also asks for its segments with
 one set bit deleted.  An equality join on segment values brings together the
 pairs that agree there but for one bit, and only those are verified.  Equal
 fingerprints are folded first, so copies never meet.
+
+The pipeline drops near copies by their shingle sets instead (``near_roots``).
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -27,9 +30,15 @@ _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _BLOCK = 1 << 16
 CUTS = (32, 32)
 MAX_BITS = 3
-# Near copies by 256 bits of 5-word shingles: a similarity of 0.8 makes about 38 bits differ.
-NEAR_SIZE, NEAR_CUTS, NEAR_BITS = 5, (21, 21, 22), 38
-NEAR_WORDS = ("a", "b", "c", "d")
+# Near copies: sets of 5-word shingles with a Jaccard similarity of at least SHARE = 4/5.
+NEAR_SIZE, SHARE = 5, (4, 5)
+#: Prefixes are longer by one shingle in so many, so similar sets share that many more of them;
+#: two sets that meet by chance share ``FEW`` at least before they are compared in the first pass.
+PART, FEW = 20, 3
+#: One text in so many is read for common shingles; so many of them come last in the order.
+SAMPLE, COMMON = 16, 1 << 18
+#: Bits of the map that picks the texts to read again; false hits only cost time.
+MAP_BITS = 1 << 25
 
 
 def shingles(text: str, size: int) -> list[str]:
@@ -50,15 +59,11 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(parts), bitorder="little").view("<i8")[0])
 
 
-def wide_fingerprint(text: str | None, size: int = NEAR_SIZE) -> tuple[int, ...]:
-    """As ``fingerprint``, with 256 bits in four words."""
+def shingle_set(text: str | None, size: int = NEAR_SIZE) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
     parts = shingles(text or "", size)
-    counts = np.zeros((2, 128), np.int64)
-    for i in range(0, len(parts), _BLOCK):
-        for seed in (0, 1):
-            hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s, seed) for s in parts[i : i + _BLOCK]]), np.uint8)
-            counts[seed] += np.unpackbits(hashes.reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(counts.ravel() * 2 > len(parts), bitorder="little").view("<i8").tolist())
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in parts), np.uint64, len(parts))
+    return np.unique(hashes.view(np.int64))
 
 
 def with_fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", name: str = "fp") -> DataFrame:
@@ -127,27 +132,142 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come more than once in a sample of ``texts (h, text)``, sorted, and how often.
+
+    They only set an order, so what the sample misses costs time, never a pair.
+    """
+    @pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t) for t in texts])
+
+    some = texts.where(F.pmod("h", F.lit(SAMPLE)) == 0).select(F.explode(of("text")).alias("token"))
+    often = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    tokens, counts = np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _picked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``texts`` whose ``h`` may be one of ``nodes``, so that a join need not move the others."""
+    bit = F.pmod("h", F.lit(MAP_BITS)) + 1
+    put = nodes.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for at, part in put:
+        bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
+    bits = nodes.sparkSession.sparkContext.broadcast(bits)
+
+    @pandas_udf("boolean")
+    def has(h: pd.Series) -> pd.Series:
+        at = np.mod(h.to_numpy(), MAP_BITS)
+        return pd.Series(bits.value[at >> 3] >> (at & 7) & 1 == 1)
+
+    return texts.where(has("h"))
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the ``pairs (u, v)`` of nodes whose shingle sets are similar, by the sets themselves."""
+    @pandas_udf("k1 long, k2 long, tokens array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"k1": [_digest(s)[0] for s in sets], "k2": [_digest(s)[1] for s in sets], "tokens": sets})
+
+    @pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
+        return pd.Series([n * SHARE[1] >= SHARE[0] * (len(x) + len(y) - n) for n, x, y in zip(both, a, b)], dtype=bool)
+
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(prints.select("node", "k1", "k2", "best.h"), "node")
+    nodes = materialize(nodes, "near-nodes")
+    once = _picked(texts, nodes).join(nodes, "h").groupBy("node", "k1", "k2", "h").agg(F.min("text").alias("text"), F.max("text").alias("other"))
+    # Texts of one hash are one text, but for a collision: then the set that the node has is taken.
+    read = once.select("node", F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.explode(F.array_distinct(F.array("text", "other"))).alias("text"))
+    sets = read.select("node", "n1", "n2", of("text").alias("s")).where("s.k1 = n1 and s.k2 = n2").select("node", F.col("s.tokens").alias("tokens"))
+    sets = materialize(sets, "near-sets")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(close("u_tokens", "v_tokens")).select("u", "v")
+
+
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8").tolist())
+
+
+def _least(n: Column) -> Column:
+    """Shingles that the prefix of a set of ``n`` shares at least with one as similar and not smaller."""
+    return F.floor(n / PART) + 1
+
+
+def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, root)``: components of all pairs of ``prints`` with a similarity of at least ``SHARE``.
+
+    ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``prefix`` and ``best.h``; ``texts`` has
+    ``h`` and ``text``.  Similar sets share as many shingles of their prefixes
+    as the smaller ``least`` of the two.  First every set meets two sets of each
+    shared shingle, which joins a large group in a linear number of pairs; then
+    all pairs that are still in different components meet.  So no pair is
+    missed and a group is not spelled out pair by pair.
+    """
+    num, den = SHARE
+    spread = prints.select("node", "n", F.explode("prefix").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    shared = materialize(spread.join(counts, "token"), "near-shared")
+    # Sizes of similar sets lie in the same or in neighbouring bands.
+    shared = shared.withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
+    poles = shared.groupBy("token", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = shared.join(poles, ["token", "band"]).select("node", "n", F.explode(F.array("low", "high")).alias("pole")).where("node <> pole")
+    met = met.groupBy(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    met = materialize(met.where(F.col("times") >= F.least(F.lit(FEW), _least(F.col("n")))).select("u", "v"), "near-met")
+    found = materialize(_similar(met, prints, texts), "near-links")
+    roots = components(found, "near-roots")
+    apart = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-apart")
+    cells = apart.groupBy("token", "root").agg(F.count("*").alias("rows"))
+    # Sets outside the largest component of a shingle meet all sets of other components.
+    main = cells.groupBy("token").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    mixed = apart.join(main, "token")
+    side = lambda df, c, *more: df.select("token", *more, *[F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "root")])
+    asking = side(mixed.where("root <> main"), "a", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    pairs = asking.join(side(mixed, "b", "band"), ["token", "band"]).where(
+        "a_root <> b_root"
+        f" and a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}")
+    pairs = pairs.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(
+        F.count_distinct("token").alias("times"), F.min(F.least("a_n", "b_n")).alias("n"))
+    pairs = pairs.where(F.col("times") >= _least(F.col("n"))).select("u", "v")
+    pairs = materialize(pairs.join(met, ["u", "v"], "left_anti"), "near-met")
+    return components(found.unionByName(_similar(pairs, prints, texts)), "near-roots")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each group of near copies, with their columns as they were.
 
-    Texts are linked if the 256-bit fingerprints of their 5-word shingles have
-    at most 38 differing bits, and at most one in some segment: about a
-    similarity of 0.8.  Up to 23 bits no link is missed.  The row with the smallest id stays; a NULL id comes
-    last, ties go by a hash of the text, equal rows by chance.  Texts without
-    words are copies of each other.  An empty table gives an empty table.
+    Texts are linked if the sets of their 5-word shingles have a Jaccard
+    similarity of at least 0.8; all such links are found, and none else.  The
+    row with the smallest id stays; a NULL id comes last, ties go by a hash of
+    the text, equal rows by chance.  Texts without words are copies of each
+    other.  An empty table gives an empty table.
     """
-    @pandas_udf("a long, b long, c long, d long")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(hashed.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts))
+
+    @pandas_udf("k1 long, k2 long, n int, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(t) for t in texts], columns=NEAR_WORDS, dtype="int64")
+        tokens, counts = common.value
+        out = []
+        for text in texts:
+            own = shingle_set(text)
+            at = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
+            weight = np.where(tokens[at] == own, counts[at], 0) if len(tokens) else np.zeros(len(own), np.int64)
+            keep = len(own) + -len(own) * SHARE[0] // SHARE[1] + 1 + len(own) // PART if len(own) else 0
+            out.append((*_digest(own), len(own), own[np.argsort(weight, kind="stable")[:keep]]))
+        return pd.DataFrame(out, columns=["k1", "k2", "n", "prefix"])
 
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("fp")).select("id", "h", "fp.*")
+    slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("s")).select("id", "h", "s.*")
     slim = materialize(slim, "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
-    prints = slim.groupBy(*NEAR_WORDS).agg(best).select(F.monotonically_increasing_id().alias("node"), *NEAR_WORDS, "best")
-    prints = materialize(prints, "near-prints")
-    roots = components(links(prints, "node", NEAR_WORDS, NEAR_CUTS, NEAR_BITS), "near-roots")
-    of_node = prints.select("node", "best").join(roots, "node", "left")
+    prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    prints = materialize(prints.select(F.monotonically_increasing_id().alias("node"), "*"), "near-prints")
+    of_node = prints.select("node", "best").join(near_roots(prints, texts), "node", "left")
     stay = of_node.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
     # NULL ids are joined as well: by a flag and a value that stands for them.
     keys = lambda c, h: {"__none": c.isNull(), "__id": F.coalesce(c.cast("string"), F.lit("")), "__h": h}

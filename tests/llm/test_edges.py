@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
 import random
 
 import public_tokenizers
@@ -103,6 +104,37 @@ def test_wide_links(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_near_copies_by_brute_force(spark):
+    """All links of similarity 0.8 or more, and no other, with the constants of the pipeline."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((8, 60, 150, 300)))]
+        texts += [base, *([(f"x{rng.randrange(10**6)}" if rng.random() < share else w) for w in base] for share in (0.005, 0.015, 0.02, 0.023, 0.027, 0.03, 0.04))]
+    texts += [[*(f"n{i}" for i in range(84 + 4 * k)), "extra"] for k in range(6)]  # neighbours in a chain
+    texts += [[f"q{i}" for i in range(n)] for n in (84, 104, 131)]  # 80, 100, 127 shingles: 0.8 exactly, then less
+    line = [f"l{i}" for i in range(30)]
+    texts += [line + [f"z{k}_{i}" for i in range(k % 7 + 1)] for k in range(40)]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+    want = [i for i in range(len(texts)) if find(i) == i]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(rows).collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(5, 5)]
