@@ -229,6 +229,23 @@ def test_shards_hold_a_hot_group(spark):
     assert max(groups[-1].count(s) for s in range(8)) >= 75
 
 
+def test_shards_keep_what_fits(spark):
+    """A group of 10 % of the rows stays whole; groups of four and edges without slack are cut only where they must be."""
+    tenth = spark.range(1000).select(F.col("id").alias("row"), F.when(F.col("id") < 100, F.lit(1)).alias("key"))
+    fours = spark.range(1000).select(F.col("id").alias("row"), F.floor(F.col("id") / 4).alias("key"))
+    shard = {r.row: r.shard for r in sharding.balanced_shards(tenth).collect()}
+    assert len({shard[i] for i in range(100)}) == 1
+    got = sharding.balanced_shards(fours).collect()
+    by, sizes = {}, {}
+    for r in got:
+        by.setdefault(r.row // 4, set()).add(r.shard)
+        sizes.setdefault(r.shard, []).append(r.slot)
+    assert sum(len(s) > 1 for s in by.values()) <= 2 and all(sorted(s) == list(range(125)) for s in sizes.values())
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100, 199)] + [(0, 150)], "u long, v long")
+    shard = {r.row: r.shard for r in sharding.balanced_shards(tenth.withColumn("key", F.when(F.col("row") < 20, F.lit(1))), edges=edges).collect()}
+    assert len(shard) == 1000 and len({shard[i] for i in [*range(20), *range(100, 200)]}) == 1
+
+
 def test_warc(spark):
     body = "<p>" + "same body " * 20 + "</p>"
     pages = [(3, "http://a/b\r\nX: 1%", body), (1, None, body), (2, "http://c", "short"), (4, "http://d", "short"), (5, "http://e", None), (6, "http://f", LONG), (7, "u", body)]
