@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import chat, decontamination, packing, pii, rules, sharding, simhash, tokens, toxicity, warc
+from corpuskit.llm import alignment, chat, decontamination, mixing, packing, pii, rules, sharding, simhash, tokens, toxicity, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +77,28 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.tokenizer_alignment(_table(spark, sf_dir, "documents"), _byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_ALL = (
+    op1_feistel_pseudonyms, op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op6_pu_toxicity,
+    op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup, op11_entropy_balancing,
+    op12_centroid_trie, op13_identity_alignment,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_token_counts, op3_benchmark_decontamination, op4_vector_packing, op5_quality_rules, op6_pu_toxicity, op7_prefix_target_chat, op8_label_propagation_shards, op9_seekable_warc, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in _ALL}
 
 
 def sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.SQL, "op7_prefix_target_chat": chat.SQL, "op9_seekable_warc": warc.SQL}
+    return {"op5_quality_rules": rules.SQL, "op7_prefix_target_chat": chat.SQL, "op9_seekable_warc": warc.SQL, "op12_centroid_trie": trie.SQL}
