@@ -52,12 +52,25 @@ def s3(t):
 oracle_table("file_lines", """
     SELECT doc_id, repo, path, language, unnest(ls) AS line, generate_subscripts(ls, 1) AS n
     FROM (SELECT *, string_split(text, chr(10)) AS ls FROM @kept_files@)""")
+# Literals and comments by one pattern a language; what they leave has the same lines.
+_WORDS = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`[^`]*`|[^"''`/]+|[\s\S]"""
+_PYTHON_WORDS = r"""#[^\n]*|"{3}[\s\S]*?"{3}|''{3}[\s\S]*?''{3}|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|[^"''#]+|[\s\S]"""
+oracle_table("code_lines", rf"""
+    SELECT doc_id, repo, path, language, unnest(ls) AS line, generate_subscripts(ls, 1) AS n
+    FROM (SELECT *, string_split(array_to_string(list_transform(
+            CASE language WHEN 'python' THEN regexp_extract_all(text, '{_PYTHON_WORDS}') ELSE regexp_extract_all(text, '{_WORDS}') END,
+            lambda t: CASE WHEN strlen(t) < 2 OR NOT (t[1] IN ('"', chr(39), '`') OR t[1] = '#' AND language = 'python' OR t[1:2] IN ('//', '/*') AND language <> 'python') THEN t
+              ELSE replace(regexp_replace(t, '[^
+]', if(t[1] = '/', ' ', chr(1)), 'g'), chr(10) || if(t[1] = '/', ' ', chr(1)), chr(10) || chr(2)) END), ''), chr(10)) AS ls
+          FROM @kept_files@)""")
 oracle_table("line_depth", r"""
     SELECT *, sum(length(line) - length(replace(line, chr(123), '')) - length(line) + length(replace(line, chr(125), '')))
                 OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS depth,
            sum(length(line) - length(replace(line, chr(123), ''))) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS opens,
+           coalesce(sum(length(regexp_replace(line, '[^(\[{]', '', 'g')) - length(regexp_replace(line, '[^)\]}]', '', 'g')))
+                OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_before,
            length(line) - length(ltrim(line)) AS indent, regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' AS solid
-    FROM @file_lines@""")
+    FROM @code_lines@""")
 _DEFS = " UNION ALL ".join(
     f"SELECT doc_id, n, indent, depth, line, '{kind}' AS type, regexp_extract(line, '{pat}', {g}) AS name, "
     + (f"regexp_extract(line, '{pat}', {og})" if og else "''") + f" AS owner FROM @line_depth@ WHERE language = '{lang}' AND regexp_matches(line, '{pat}')"
@@ -69,7 +82,7 @@ oracle_table("def_ends", r"""
     SELECT d.doc_id, d.n, d.type, d.name, d.owner, k.language,
       CASE WHEN k.language = 'python' THEN
           coalesce((SELECT max(a.n) FROM @line_depth@ a WHERE a.doc_id = d.doc_id AND a.solid AND a.n >= d.n AND a.n <
-            coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND z.n > d.n AND z.solid AND z.indent <= d.indent AND NOT starts_with(ltrim(z.line), ')')), 1000000000)), d.n)
+            coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND z.n > d.n AND z.solid AND z.indent <= d.indent AND z.open_before = 0 AND NOT starts_with(z.line, chr(2))), 1000000000)), d.n)
         WHEN k.language = 'proto' AND d.type = 'function' THEN d.n
         ELSE coalesce((SELECT min(z.n) FROM @line_depth@ z WHERE z.doc_id = d.doc_id AND CASE WHEN k.language = 'proto' THEN z.n > d.n
               ELSE z.n >= d.n AND z.opens > coalesce((SELECT b.opens FROM @line_depth@ b WHERE b.doc_id = d.doc_id AND b.n = d.n - 1), 0) END
@@ -102,9 +115,9 @@ def w11(t):
 
 @query("V5_pattern_dispatch", """
     SELECT language, type, count(*) AS n FROM (SELECT language, type FROM @def_ends@
-      UNION ALL SELECT language, 'comment' FROM @file_lines@ WHERE language = 'go' AND regexp_matches(line, '^// (\\w+)')) GROUP BY ALL""".replace("\\\\", "\\"))
+      UNION ALL SELECT language, 'package' FROM @file_lines@ WHERE language = 'go' AND regexp_matches(line, '^package [a-z]+')) GROUP BY ALL""")
 def v5(t):
-    more = {**P.DEFINITIONS, "go": P.DEFINITIONS["go"] + (("comment", r"^// (\w+)", 1, 0),)}
+    more = {**P.DEFINITIONS, "go": P.DEFINITIONS["go"] + (("package", r"^package (\w+)", 1, 0),)}
     return P.definitions(kept(t), more).groupBy("language", "type").agg(F.count("*").alias("n"))
 
 

@@ -29,18 +29,18 @@ TEXT_TABLES = ("documents", "pages")
 def text_template(template: str) -> str:
     """SQL ``concat`` for a text with ``<<expression>>`` holes.
 
-    Newlines and braces become ``chr()`` calls, which every engine reads alike.
+    Newlines, quotes and braces become ``chr()`` calls, which every engine reads alike.
     """
     out = []
     for i, part in enumerate(re.split(r"<<(.*?)>>", template)):
         if i % 2:
             out.append(part)
             continue
-        for piece in re.split(r"([\n{}\"\\])", part):
-            if piece and piece in "\n{}\"\\":
+        for piece in re.split(r"([\n{}\"\\'])", part):
+            if piece and piece in "\n{}\"\\'":
                 out.append(f"chr({ord(piece)})")
             elif piece:
-                out.append("'" + piece.replace("'", "''") + "'")
+                out.append(f"'{piece}'")
     return "concat(" + ", ".join(out) + ")"
 
 
@@ -59,6 +59,19 @@ class Doc<<doc_id % 50>>(Base):
                  y):
         return self.load_<<doc_id % 7>>(y)
 
+    def quote_all(self, rows={"a": "}"}):
+        text = """
+def not_a_function(x):
+class NotAClass:
+    {
+""" + \'\'\'
+# "
+def neither(x):
+\'\'\'
+        return [text, "# {", '"', {  # (
+    "one": 1,
+}]
+
 def run_<<doc_id % 13>>(a):
     return a
 # <<body>>''')
@@ -85,6 +98,18 @@ func (s *Store<<doc_id % 31>>) Load(x int) error {
     return nil
 }
 
+func Quote(x int) string { // {
+    s := `}
+func Hidden(x int) int {
+` // {
+    if x == '}' || x == '\\'' {
+        return "{\\"{"
+    }
+    return s /* }
+type Hidden struct {
+*/
+}
+
 func Run<<doc_id % 17>>(x int) int {
     return x
 }
@@ -101,6 +126,15 @@ static int read_cliff_<<doc_id % 19>>(uint8_t *buf)
     }
     return 0;
 }
+
+int find_brace(const char *s)
+{
+    char c = '}'; // {
+    /* }
+int hidden_call(int x) {
+    */
+    return s[0] == c ? "}\\"{"[0] : '\\'';
+}
 // <<body>>''')
 _JS = text_template('''const x = require("x");
 class View<<doc_id % 29>> {
@@ -109,6 +143,16 @@ class View<<doc_id % 29>> {
     }
 }
 
+function quote_all(a) { // {
+    const open = '{', tick = `}
+function hidden(a) {
+`;
+    /* {
+class Hidden {
+    */
+    return a + "}" + open;
+}
+
 function render_<<doc_id % 13>>(a) {
     return a;
 }
@@ -123,6 +167,13 @@ message Row<<doc_id % 37>> {
 service Api<<doc_id % 5>> {
     rpc Get<<doc_id % 11>>(Row<<doc_id % 37>>) returns (Row<<doc_id % 37>>);
 }
+message Quoted {
+    string open = 1 [default = "}"]; // }
+    /* }
+message Hidden {
+    */
+    string close = 2 [default = '{'];
+}
 enum Kind { A = 0; B = 1; }
 // <<body>>''')
 

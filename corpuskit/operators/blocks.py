@@ -2,7 +2,9 @@
 
 Definitions of a file are found by column expressions; their ends, sources and
 enclosing scopes come from one scan of its lines, so a file with many
-definitions costs its lines and definitions, not their product.
+definitions costs its lines and definitions, not their product.  Braces,
+brackets and indents are read from the lines that ``operators.lexer`` leaves,
+so those in strings and comments count for nothing.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuskit.operators.lexer import INSIDE
+
 FIELDS = ("end", "source", "above", "class_name", "in_function")
 BLOCK_TYPE = "struct<end:array<int>,source:array<string>,above:array<string>,class_name:array<string>,in_function:array<boolean>>"
 
@@ -44,11 +48,14 @@ def first_at_most(values: list, asked: list[tuple[int, float]]) -> list[int | No
 
 
 def _ends(lines: list[str], language: str, starts: list[int], kinds: list[str]) -> list[int]:
-    """Last line (from 0) of each definition that starts on a line of ``starts``."""
+    """Last line (from 0) of each definition that starts on a line of ``starts``; ``lines`` have no literals."""
     if language == "python":
         indents = [len(x) - len(x.lstrip(" ")) for x in lines]
-        # A signature may go on over lines up to the one that ends with a colon.
-        stops = [n if x.strip() and not x.lstrip(" ").startswith(")") else float("inf") for n, x in zip(indents, lines, strict=True)]
+        # A line inside of brackets or of a string ends nothing, however far left it begins.
+        stops, open_ = [], 0
+        for n, x in zip(indents, lines, strict=True):
+            stops.append(n if x.strip() and not open_ and x[0] != INSIDE else float("inf"))
+            open_ = max(0, open_ + sum(map(x.count, "([{")) - sum(map(x.count, ")]}")))
         solid, last = [], -1
         for i, x in enumerate(lines):
             last = i if x.strip() else last
@@ -95,15 +102,15 @@ def _scopes(language: str, starts: list[int], ends: list[int], kinds: list[str],
     return owners, inside
 
 
-def _blocks(text: pd.Series, language: pd.Series, starts: pd.Series, kinds: pd.Series, names: pd.Series) -> pd.DataFrame:
+def _blocks(text: pd.Series, code: pd.Series, language: pd.Series, starts: pd.Series, kinds: pd.Series, names: pd.Series) -> pd.DataFrame:
     """Ends (from 1), sources, comments above, classes around and nesting of each file's definitions."""
     out = []
-    for body, lang, first, kind, name in zip(text, language, starts, kinds, names, strict=True):
+    for body, left, lang, first, kind, name in zip(text, code, language, starts, kinds, names, strict=True):
         if first is None or not len(first):
             out.append(([], [], [], [], []))
             continue
         lines, first = body.split("\n"), [int(s) - 1 for s in first]
-        ends = _ends(lines, lang, first, list(kind))
+        ends = _ends(left.split("\n"), lang, first, list(kind))
         owners, inside = _scopes(lang, first, ends, list(kind), list(name))
         out.append((
             [e + 1 for e in ends], ["\n".join(lines[s : e + 1]) for s, e in zip(first, ends, strict=True)],
@@ -112,5 +119,5 @@ def _blocks(text: pd.Series, language: pd.Series, starts: pd.Series, kinds: pd.S
 
 
 def blocks(*columns: Column | str) -> Column:
-    """The above for columns text, language, and arrays of start lines, kinds and names."""
+    """The above for columns text, text without literals, language, and arrays of start lines, kinds and names."""
     return F.pandas_udf(_blocks, BLOCK_TYPE)(*columns)

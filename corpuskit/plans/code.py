@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions import tags as G
 from corpuskit.functions.text import signature_text, strip, token_count
 from corpuskit.operators.blocks import blocks
+from corpuskit.operators.lexer import code_only
 from corpuskit.operators.scan import top_rows
 
 # Definition patterns by language: (kind, pattern, group of the name, group of the owner).
@@ -49,9 +50,11 @@ def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
     """Definitions of source files: kind, name, owner, lines and source text.
 
     ``files`` has ``repo``, ``path``, ``language``, ``text``; other columns are
-    kept.  ``patterns`` may be extended with more languages.
+    kept.  ``patterns`` may be extended with more languages.  They are held
+    against the lines without strings and comments, so a definition that is
+    quoted or commented out is none.
     """
-    lines = F.split("text", "\n")
+    lines = F.split("__code", "\n")
 
     def hits_of(kind, pattern, name_group, owner_group):
         def hit(line, i):
@@ -68,8 +71,9 @@ def definitions(files: DataFrame, patterns: dict = DEFINITIONS) -> DataFrame:
             found = part if found is None else F.concat(found, part)
     keep = [c for c in files.columns if c != "text"]
     field = lambda name: F.transform("found_defs", lambda d: d[name])
-    rows = files.select(*keep, "text", found.alias("found_defs"))
-    ended = rows.withColumn("b", blocks("text", "language", field("line_start"), field("type"), field("name")))
+    coded = files.select(*keep, "text", code_only("text", "language").alias("__code"))
+    rows = coded.select(*keep, "text", "__code", found.alias("found_defs"))
+    ended = rows.withColumn("b", blocks("text", "__code", "language", field("line_start"), field("type"), field("name")))
     zipped = F.arrays_zip("found_defs", "b.end", "b.source", "b.above", "b.class_name", "b.in_function")
     # Outer: no filter that repeats the patterns.
     each = ended.select(*keep, F.explode_outer(zipped).alias("d")).where("d is not null")
