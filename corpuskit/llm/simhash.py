@@ -7,13 +7,17 @@ one set bit deleted.  An equality join on segment values brings together the
 pairs that agree there but for one bit, and only those are verified.  Equal
 fingerprints are folded first, so copies never meet.
 
-The pipeline drops near copies by their shingle sets instead (``near_roots``).
+The pipeline's stage (``drop_near_duplicates``) owes every pair of similar
+shingle sets, which fingerprints alone cannot give: there the same signatures
+bring most near copies together, the sets verify them, and an exact join over
+the rarest shingles finds what is still apart.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpuskit.llm.components import components
+from corpuskit.operators.scan import top_rows
 from corpuskit.session import materialize
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,8 +38,10 @@ MAX_BITS = 3
 # Near copies: sets of 5-word shingles with a Jaccard similarity of at least SHARE = 4/5.
 NEAR_SIZE, SHARE = 5, (4, 5)
 #: Prefixes are longer by one shingle in so many, so similar sets share that many more of them;
-#: two sets that meet by chance share ``FEW`` at least before they are compared in the first pass.
+#: two sets that meet by chance share ``FEW`` at least before they are compared ahead of the exact join.
 PART, FEW = 20, 3
+#: Rounds in which a set is compared with the ``POLES`` other sets it shares most with.
+ROUNDS, POLES = 2, 2
 #: One text in so many is read for common shingles; so many of them come last in the order.
 SAMPLE, COMMON = 16, 1 << 18
 #: Bits of the map that picks the texts to read again; false hits only cost time.
@@ -132,6 +139,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _majority(blocks: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if over half of all hashes have it; 0 for none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        counts += np.unpackbits(hashes.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
+
+
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that come more than once in a sample of ``texts (h, text)``, sorted, and how often.
 
@@ -148,44 +164,63 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _picked(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``texts`` whose ``h`` may be one of ``nodes``, so that a join need not move the others."""
-    bit = F.pmod("h", F.lit(MAP_BITS)) + 1
-    put = nodes.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``place`` may be one of ``wanted``, so that a join need not move the others."""
+    bit = F.pmod("place", F.lit(MAP_BITS)) + 1
+    put = wanted.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 8, np.uint8)
     for at, part in put:
         bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
-    bits = nodes.sparkSession.sparkContext.broadcast(bits)
+    bits = wanted.sparkSession.sparkContext.broadcast(bits)
 
     @pandas_udf("boolean")
-    def has(h: pd.Series) -> pd.Series:
-        at = np.mod(h.to_numpy(), MAP_BITS)
+    def has(place: pd.Series) -> pd.Series:
+        at = np.mod(place.to_numpy(), MAP_BITS)
         return pd.Series(bits.value[at >> 3] >> (at & 7) & 1 == 1)
 
-    return texts.where(has("h"))
+    return rows.where(has("place"))
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the ``pairs (u, v)`` of nodes whose shingle sets are similar, by the sets themselves."""
+def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node`` and ``tokens``, its whole shingle set; of copies, one text is read.
+
+    ``nodes`` has ``node``, ``k1``, ``k2`` and ``best``; ``texts`` has ``id``, ``h`` and ``text``.
+    """
     @pandas_udf("k1 long, k2 long, tokens array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame({"k1": [_digest(s)[0] for s in sets], "k2": [_digest(s)[1] for s in sets], "tokens": sets})
 
-    @pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
-        return pd.Series([n * SHARE[1] >= SHARE[0] * (len(x) + len(y) - n) for n, x, y in zip(both, a, b)], dtype=bool)
-
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(prints.select("node", "k1", "k2", "best.h"), "node")
-    nodes = materialize(nodes, "near-nodes")
-    once = _picked(texts, nodes).join(nodes, "h").groupBy("node", "k1", "k2", "h").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    # Texts of one hash are one text, but for a collision: then the set that the node has is taken.
-    read = once.select("node", F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.explode(F.array_distinct(F.array("text", "other"))).alias("text"))
-    sets = read.select("node", "n1", "n2", of("text").alias("s")).where("s.k1 = n1 and s.k2 = n2").select("node", F.col("s.tokens").alias("tokens"))
-    sets = materialize(sets, "near-sets")
+    placed = nodes.select("node", "k1", "k2", F.xxhash64("best.id", "best.h").alias("place"))
+    read = _picked(texts.withColumn("place", F.xxhash64("id", "h")), placed).select("place", of("text").alias("s")).select("place", "s.*")
+    # The digest names the set, so another text of the same place does no harm.
+    found = read.join(placed, ["place", "k1", "k2"])
+    return materialize(found.groupBy("node").agg(F.any_value("tokens").alias("tokens")), "near-sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the ``pairs (u, v)`` of nodes whose shingle sets are similar, by the sets themselves."""
+    num, den = SHARE
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where(close("u_tokens", "v_tokens")).select("u", "v")
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("n", F.size(F.array_intersect("u_tokens", "v_tokens")))
+    return both.where(F.col("n") * den >= (F.size("u_tokens") + F.size("v_tokens") - F.col("n")) * num).select("u", "v")
+
+
+def signature_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes by deletion variants of their fingerprints: each node and one that has the segment it asks for.
+
+    A group in which all have a segment in common gives one pair a node, not all pairs.
+    """
+    part = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), part(sum(CUTS[:s]), w).alias("x"), F.lit(w).alias("width")) for s, w in enumerate(CUTS)])
+    one = lambda x, s: F.struct(s.alias("s"), x.alias("x"))
+    variants = F.flatten(F.transform(keys, lambda k: F.concat(F.array(one(k["x"], k["s"])), F.transform(
+        F.filter(F.sequence(F.lit(0), k["width"] - 1), lambda i: F.call_function("getbit", k["x"], i) == 1),
+        lambda i: one(k["x"].bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)), k["s"])))))
+    have = prints.select("node", "fp", F.explode(keys).alias("k")).groupBy("k.s", "k.x").agg(F.min(F.struct("node", "fp")).alias("pole"))
+    asked = prints.select("node", "fp", F.explode(variants).alias("k")).select("node", "fp", "k.s", "k.x").join(have, ["s", "x"])
+    close = (F.col("node") != F.col("pole.node")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pole.fp"))) <= MAX_BITS)
+    return asked.where(close).select(F.least("node", "pole.node").alias("u"), F.greatest("node", "pole.node").alias("v")).distinct()
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -198,43 +233,78 @@ def _least(n: Column) -> Column:
     return F.floor(n / PART) + 1
 
 
-def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, root)``: components of all pairs of ``prints`` with a similarity of at least ``SHARE``.
+def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the ``root`` of their node."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
 
-    ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``prefix`` and ``best.h``; ``texts`` has
-    ``h`` and ``text``.  Similar sets share as many shingles of their prefixes
-    as the smaller ``least`` of the two.  First every set meets two sets of each
-    shared shingle, which joins a large group in a linear number of pairs; then
-    all pairs that are still in different components meet.  So no pair is
-    missed and a group is not spelled out pair by pair.
+def _poled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs ``(u, v)``: each set and the few, in other components, that it shares most shingles with."""
+    own = _rooted(shared, roots)
+    end = lambda f: f(F.struct("root", "node"))
+    poles = own.groupBy("token", "band").agg(end(F.min).alias("low"), end(F.max).alias("high")).where("low.root <> high.root")
+    met = own.join(poles, ["token", "band"]).select("node", "n", "root", F.explode(F.array("low", "high")).alias("pole")).where("root <> pole.root")
+    met = met.groupBy("node", F.col("pole.node").alias("pole")).agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    few = met.where(F.col("times") >= F.least(F.lit(FEW), _least(F.col("n"))))
+    return top_rows(few, ["node"], [F.desc("times"), F.col("pole")], POLES).select(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).distinct()
+
+
+def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs ``(u, v)`` that may be similar and are in different components.
+
+    Sets outside the largest component of a shingle meet all sets of other components.
     """
     num, den = SHARE
-    spread = prints.select("node", "n", F.explode("prefix").alias("token"))
-    counts = spread.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    shared = materialize(spread.join(counts, "token"), "near-shared")
-    # Sizes of similar sets lie in the same or in neighbouring bands.
-    shared = shared.withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
-    poles = shared.groupBy("token", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = shared.join(poles, ["token", "band"]).select("node", "n", F.explode(F.array("low", "high")).alias("pole")).where("node <> pole")
-    met = met.groupBy(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).agg(F.count("*").alias("times"), F.max("n").alias("n"))
-    met = materialize(met.where(F.col("times") >= F.least(F.lit(FEW), _least(F.col("n")))).select("u", "v"), "near-met")
-    found = materialize(_similar(met, prints, texts), "near-links")
-    roots = components(found, "near-roots")
-    apart = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-apart")
+    apart = materialize(_rooted(shared, roots), "near-apart")
     cells = apart.groupBy("token", "root").agg(F.count("*").alias("rows"))
-    # Sets outside the largest component of a shingle meet all sets of other components.
     main = cells.groupBy("token").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     mixed = apart.join(main, "token")
     side = lambda df, c, *more: df.select("token", *more, *[F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "root")])
+    # Sizes of similar sets lie in the same or in neighbouring bands.
     asking = side(mixed.where("root <> main"), "a", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     pairs = asking.join(side(mixed, "b", "band"), ["token", "band"]).where(
         "a_root <> b_root"
         f" and a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}")
     pairs = pairs.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(
         F.count_distinct("token").alias("times"), F.min(F.least("a_n", "b_n")).alias("n"))
-    pairs = pairs.where(F.col("times") >= _least(F.col("n"))).select("u", "v")
-    pairs = materialize(pairs.join(met, ["u", "v"], "left_anti"), "near-met")
-    return components(found.unionByName(_similar(pairs, prints, texts)), "near-roots")
+    return pairs.where(F.col("times") >= _least(F.col("n"))).select("u", "v")
+
+
+def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, root)``: components of all pairs of ``prints`` with a similarity of at least ``SHARE``.
+
+    ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``fp``, ``prefix`` and ``best``;
+    ``texts`` has ``id``, ``h`` and ``text``.  Similar sets share as many shingles
+    of their prefixes as the smaller ``_least`` of the two.  Deletion variants of
+    the fingerprints link what they can, then each set meets the few others it
+    shares most with; both join large groups in a linear number of pairs.  At
+    last all pairs that are still in different components and share enough of
+    their prefixes meet, so no pair is missed and no group is spelled out.
+    Every pair is verified on the sets.
+    """
+    num, den = SHARE
+    spread = prints.select("node", "n", F.explode("prefix").alias("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    shared = spread.join(counts, "token").withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
+    shared = materialize(shared, "near-shared")
+    signed = materialize(signature_pairs(prints.where("n > 0")), "near-signed")
+    # No other set can be in a pair.
+    able = shared.groupBy("node").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    able = able.where(F.col("rows") >= F.least(F.lit(FEW), _least(F.floor(F.col("n") * num / den)))).select("node")
+    nodes = able.unionByName(signed.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    sets = _sets(prints.select("node", "k1", "k2", "best").join(nodes, "node"), texts)
+    found = materialize(_similar(signed, sets), "near-links")
+    roots, tried = components(found, "near-roots"), signed
+    for _ in range(ROUNDS):
+        pairs = materialize(_poled(shared, roots).join(tried, ["u", "v"], "left_anti"), "near-met")
+        if pairs.isEmpty():
+            break
+        found, tried = found.unionByName(materialize(_similar(pairs, sets), "near-links")), tried.unionByName(pairs)
+        roots = components(found, "near-roots")
+    pairs = materialize(_apart(shared, roots).join(tried, ["u", "v"], "left_anti"), "near-met")
+    return components(found.unionByName(_similar(pairs, sets)), "near-roots")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,10 +317,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other.  An empty table gives an empty table.
     """
     hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(hashed.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
 
-    @pandas_udf("k1 long, k2 long, n int, prefix array<long>")
+    @pandas_udf("k1 long, k2 long, n int, fp long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         tokens, counts = common.value
         out = []
@@ -259,13 +329,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             at = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
             weight = np.where(tokens[at] == own, counts[at], 0) if len(tokens) else np.zeros(len(own), np.int64)
             keep = len(own) + -len(own) * SHARE[0] // SHARE[1] + 1 + len(own) // PART if len(own) else 0
-            out.append((*_digest(own), len(own), own[np.argsort(weight, kind="stable")[:keep]]))
-        return pd.DataFrame(out, columns=["k1", "k2", "n", "prefix"])
+            out.append((*_digest(own), len(own), _majority([own]), own[np.argsort(weight, kind="stable")[:keep]]))
+        return pd.DataFrame(out, columns=["k1", "k2", "n", "fp", "prefix"])
 
     slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("s")).select("id", "h", "s.*")
     slim = materialize(slim, "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
-    prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     prints = materialize(prints.select(F.monotonically_increasing_id().alias("node"), "*"), "near-prints")
     of_node = prints.select("node", "best").join(near_roots(prints, texts), "node", "left")
     stay = of_node.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
