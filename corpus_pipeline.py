@@ -15,29 +15,62 @@ from corpuskit.llm.queries import KEY
 from corpuskit.session import materialize
 
 
+#: Rows that a Python worker takes at a time.  Texts are whole, so the usual 10,000 are too many for a small executor.
+ROWS_AT_A_TIME = 1000
+
+
+def _narrow(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_A_TIME)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and every row of the threshold table."""
+    """Documents that pass the base rule and every row of the threshold table.
+
+    A NULL or empty text has no words and goes; repeated rows stay or go
+    together; all columns stay; an empty table stays empty.
+    """
     return rules.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
+    """One document of each group of exact and near copies: the one with the smallest ``doc_id``.
+
+    NULL, empty and blank texts are copies of each other; of repeated rows one
+    stays; a NULL id comes last; all columns stay; an empty table stays empty.
+    """
+    _narrow(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its edit budget."""
+    """Documents that hold no benchmark item within its edit budget.
+
+    A NULL or empty text holds none and stays, as do repeated rows and all
+    columns; an empty table stays empty, an empty benchmark takes nothing out.
+    """
+    _narrow(spark)
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def feistel_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms for personal values; ``n_chars`` follows the text."""
+    """The documents with pseudonyms for personal values; ``n_chars``, if there is one, follows the text.
+
+    NULL and empty texts stay as they are, a NULL ``n_chars`` stays NULL; no
+    row goes; an empty table stays empty.
+    """
     kept = pii.pseudonymise(docs, KEY, count_col="__pseudonyms").drop("__pseudonyms")
-    return kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+    return kept.select(*docs.columns)
 
 
 def vector_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences, with their token ids."""
+    """Pieces of all documents in training sequences, with their token ids.
+
+    A NULL or empty text is one piece of the end alone; repeated rows are packed
+    like any other; an empty table gives no pieces.
+    """
+    _narrow(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
