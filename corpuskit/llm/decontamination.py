@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpuskit.llm.sharding import running
+from corpuskit.session import materialize
 
-#: Share of an item's characters that may be edited, and the least item searched for.
+#: Share of an item's characters that may be edited.  Items below so many characters have no
+#: budget: they are one piece, which counts where it stands between words.
 RATE = 0.08
 LEAST = 24
 #: Characters of items in one block.
@@ -88,12 +90,13 @@ class Matcher:
 
     def __init__(self, items: list[tuple], rate: float, least: int):
         self.items: list[tuple] = []
+        self.least = least
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             pattern = plain(text or "")
-            if len(pattern) < least:
+            if not pattern:
                 continue
-            k, which = int(len(pattern) * rate), len(self.items)
+            k, which = int(len(pattern) * rate) if len(pattern) >= least else 0, len(self.items)
             self.items.append((item_id, pattern, k, masks(pattern), pattern[::-1], masks(pattern[::-1])))
             cuts = [i * len(pattern) // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -120,6 +123,8 @@ class Matcher:
             for low, high in self._windows(starts, k):
                 start = max(0, low - k)
                 part = body[start : high + len(pattern) + k]
+                if len(pattern) < self.least and not self._apart(body, start, start + len(pattern)):
+                    continue
                 distance, end = best_end(pattern, peq, part)
                 if distance <= k and (best is None or distance < best[0]):
                     best = (distance, start, end, part)
@@ -131,6 +136,11 @@ class Matcher:
             out.append((item_id, distance, _origin(shifts, start + end - length), _origin(shifts, start + end - 1) + 1))
         return out
 
+    @staticmethod
+    def _apart(body: str, start: int, end: int) -> bool:
+        """If no word goes on over either end."""
+        return not (start > 0 and body[start - 1].isalnum() and body[start].isalnum() or end < len(body) and body[end - 1].isalnum() and body[end].isalnum())
+
     @staticmethod
     def _windows(starts: list[int], k: int) -> Iterator[tuple[int, int]]:
         """Ranges of starts; those within the budget of each other share one."""
@@ -157,6 +167,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     """The items in blocks of bounded size; one block at a time is on the driver."""
     items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
     placed = running(items, [], F.length("text").cast("long"), ["id", "text"], items.count(), "at").withColumn("block", F.floor(F.col("at") / BLOCK))
+    placed = materialize(placed.select("id", "text", "block"), "benchmark-blocks")
     for (block,) in placed.select("block").distinct().orderBy("block").collect():
         yield [tuple(r) for r in placed.where(F.col("block") == block).select("id", "text").orderBy("id", "text").collect()]
 
@@ -180,7 +191,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least:
     ``end`` (code points of the passage in the text as it is).  Texts are
     compared in lower case with white space folded; the budget is ``rate`` of
     the item's characters.  Of several places the best counts, then the first.
-    Items below ``least`` characters and NULL or empty texts match nothing.
+    Items below ``least`` characters must be there unchanged and between words.
+    NULL, empty and blank items and texts match nothing.
     Equal items with different ids are each reported, repeated rows of either
     table too (items once).  Other columns are ignored; an empty table on
     either side gives an empty table.
@@ -205,7 +217,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns as they were."""
+    """The rows of ``docs`` that hold no item, with their columns as they were.
+
+    A row with a NULL or empty text holds none and stays; so does every repeated
+    row.  An empty benchmark takes nothing out.
+    """
     for items in _blocks(benchmark, "item_id", "text"):
         docs = docs.where(~leaked(items, F.col("text"), rate, least))
     return docs
