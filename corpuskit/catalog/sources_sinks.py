@@ -16,6 +16,7 @@ from corpuskit.session import run_dir
 from corpuskit.sources import files as S
 from corpuskit.sources import sinks as K
 from corpuskit.sources import tables as T
+from corpuskit.sources import versions as V
 
 
 @query("S5_preferred_json_tables", """
@@ -119,11 +120,11 @@ def k3(t):
 def k4(t):
     path = run_dir(t.spark, "cache")
     rows = t.documents.select(F.sha2("text", 256).alias("content_hash"), "doc_id")
+    rows = rows.withColumn("bucket", F.substring("content_hash", 1, 1))
     old = top_rows(rows.where("doc_id % 3 < 2"), ["content_hash"], [F.desc("doc_id")], 1, "r").drop("r")
-    old.withColumn("state", F.lit("old")).write.parquet(f"{path}/v1")
-    new = rows.where("doc_id % 3 <> 1").withColumn("state", F.lit("new"))
-    K.upsert(t.spark.read.parquet(f"{path}/v1"), new, ["content_hash"], [F.desc("doc_id")]).write.parquet(f"{path}/v2")
-    return t.spark.read.parquet(f"{path}/v2")
+    V.create_table(old.withColumn("state", F.lit("old")), path, "bucket")
+    V.upsert_rows(path, rows.where("doc_id % 3 <> 1").withColumn("state", F.lit("new")), ["content_hash"], [F.desc("doc_id")])
+    return V.read_table(t.spark, path).drop("bucket")
 
 
 @query("K5_resumable_append", "SELECT doc_id FROM documents")
@@ -141,10 +142,10 @@ def k5(t):
 def k6(t):
     path = run_dir(t.spark, "deletable")
     rows = t.chunk_rows.select("chunk_id", "file", "content_type")
-    rows.write.partitionBy("content_type").parquet(path)
+    V.create_table(rows, path, "content_type")
     doomed = rows.where("content_type = 'trm_note' or (content_type = 'trm_code' and file = 'file_7') or chunk_id = 'k1'")
-    K.delete_rows(path, "content_type", doomed, "chunk_id")
-    return t.spark.read.parquet(path).select("chunk_id", "content_type")
+    V.delete_rows(path, doomed, ["chunk_id"])
+    return V.read_table(t.spark, path).select("chunk_id", "content_type")
 
 
 @query("K7_note_sink", "SELECT 'Repos/' || source || '/' || doc_id AS name, sha256(text) AS content_hash FROM documents")
@@ -177,12 +178,11 @@ def k8(t):
 def k9(t):
     path = run_dir(t.spark, "history")
     rows = t.history.select("id", "session_id", F.lit("none").alias("retrieval_scores"))
-    rows.where("id < 5000").write.mode("append").parquet(f"{path}/v1")
-    rows.where("id >= 5000").write.mode("append").parquet(f"{path}/v1")
-    table = t.spark.read.parquet(f"{path}/v1")
-    changes = rows.where("id % 5 = 0").select("id", F.concat(F.lit("patched"), "id").alias("retrieval_scores"))
-    patched = K.patch(table, changes, "id", "retrieval_scores")
-    return patched.join(rows.where("id % 7 = 0").select("id"), "id", "left_anti")
+    V.create_table(rows.where("id < 5000"), path, "session_id")
+    V.append_rows(rows.where("id >= 5000"), path)
+    changes = rows.where("id % 5 = 0").withColumn("retrieval_scores", F.concat(F.lit("patched"), "id"))
+    V.change_rows(path, "id", "retrieval_scores", changes, rows.where("id % 7 = 0"))
+    return V.read_table(t.spark, path)
 
 
 @query("X12_single_file_reindex")
@@ -194,7 +194,7 @@ def x12(t):
     write_file_chunks(notes, path)
     changed = notes.where("source = 'note_3'").withColumn("text", F.concat(F.lit("changed "), "text"))
     reindex_file(changed, path)
-    return t.spark.read.parquet(path).select("source", "chunk_id", F.length("content").alias("n_chars"))
+    return V.read_table(t.spark, path).select("source", "chunk_id", F.length("content").alias("n_chars"))
 
 
 @query("P7_pushed_filter", "SELECT chunk_id FROM @chunk_rows@ WHERE content_type = 'trm_prose' AND repo = 'src2'")

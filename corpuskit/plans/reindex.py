@@ -1,23 +1,24 @@
-"""Index of note files: build it, and re-index single files in place."""
+"""Index of note files: build it, and re-index single files in one step."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from corpuskit.operators.packing import split_notes
-from corpuskit.session import materialize
-from corpuskit.sources.sinks import delete_rows
+from corpuskit.sources.versions import create_table, rewrite_parts
 
 
 def write_file_chunks(notes: DataFrame, path: str) -> None:
-    """Chunks of notes ``(shard, source, text)``, one partition per shard."""
-    split_notes(notes, "source", "text").write.partitionBy("shard").parquet(path)
+    """Chunks of notes ``(shard, source, text)`` as a table of versions, a folder per shard."""
+    create_table(split_notes(notes, "source", "text"), path, "shard")
 
 
 def reindex_file(changed: DataFrame, path: str) -> None:
-    """Replace the chunks of the changed notes; other shards stay untouched."""
-    fresh = materialize(split_notes(changed, "source", "text"), "reindex")
-    table = changed.sparkSession.read.parquet(path)
-    stale = materialize(table.join(changed.select("shard", "source"), ["shard", "source"], "left_semi").select("shard", "chunk_id"), "stale")
-    delete_rows(path, "shard", stale, "chunk_id")
-    fresh.write.mode("append").partitionBy("shard").parquet(path)
+    """Replace the chunks of the changed notes; other shards stay untouched.
+
+    Old chunks go and new ones come in the same version, so no reader and no
+    failure ever meets a note without its chunks.
+    """
+    fresh = split_notes(changed, "source", "text")
+    names = changed.select("shard", "source").distinct()
+    rewrite_parts(path, changed, lambda old: old.join(names, ["shard", "source"], "left_anti").unionByName(fresh))

@@ -1,4 +1,4 @@
-"""Sinks: JSON and collection tables, keyed upsert, resumable append, deletes, notes."""
+"""Sinks: JSON and collection tables, resumable append, notes.  Changes of tables are in ``versions``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.operators.scan import top_rows
 from corpuskit.plans.chunks import collection_of
 
 
@@ -24,51 +23,12 @@ def write_collections(chunks: DataFrame, path: str, mode: str = "overwrite") ->
     routed.write.mode(mode).partitionBy("collection").parquet(path)
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
-    """``existing`` with ``new`` rows in place of those with equal keys.
-
-    Of several new rows with one key the first in ``order`` stays.  The result
-    is a new version of the table; write it next to the old one.
-    """
-    if order:
-        new = top_rows(new, keys, order, 1, "__r").drop("__r")
-    kept = existing.join(new.select(*keys), keys, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
-
-
 def append_unseen(new: DataFrame, path: str, key: str) -> None:
     """Append rows whose key the table lacks; running it again adds nothing."""
     known = new.sparkSession.read.parquet(path).select(key)
     new.dropDuplicates([key]).join(known, key, "left_anti").write.mode("append").parquet(path)
 
 
-def delete_rows(path: str, partition: str, doomed: DataFrame, key: str) -> None:
-    """Delete the rows of ``doomed`` (``key``, ``partition``) from a partitioned table.
-
-    Only partitions that hold such rows are written again; a partition with no
-    rows left is removed.
-    """
-    spark = doomed.sparkSession
-    table = spark.read.parquet(path)
-    touched = doomed.select(partition).distinct()
-    rest = table.join(touched, partition, "left_semi").join(doomed.select(key, partition), [key, partition], "left_anti")
-    staged = f"{path}.{uuid.uuid4().hex}"
-    rest.write.partitionBy(partition).parquet(staged)
-    remaining = spark.read.schema(table.schema).parquet(staged)
-    emptied = touched.join(remaining.select(partition).distinct(), partition, "left_anti")
-    remaining.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for row in emptied.toLocalIterator():
-        target = hadoop.Path(f"{path}/{partition}={row[0]}")
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def patch(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
-    """Rows with ``column`` replaced where ``changes`` has a value for the key."""
-    new = changes.select(key, F.col(column).alias("__new"))
-    return rows.join(new, key, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
-
-
 def _write_files(root: str):
     def write(rows: Iterator) -> None:
         files, top = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)

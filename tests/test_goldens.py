@@ -12,7 +12,7 @@ from corpuskit.operators.embedding import map_points
 from corpuskit.plans import answers, code, history, manual, vault
 from corpuskit.plans.reindex import reindex_file, write_file_chunks
 from corpuskit.session import run_dir
-from corpuskit.sources import sinks, tables
+from corpuskit.sources import sinks, tables, versions
 from corpuskit.sources.files import manifest_modules, manifest_packages, read_notes, read_source_tree
 from corpuskit.streaming import jobs
 
@@ -195,12 +195,12 @@ def test_note_sink_and_reindex(spark, tmp_path):
     path = run_dir(spark, "reindex-test")
     table = spark.createDataFrame([("s1", "n1", "one " * 400), ("s1", "n2", "two"), ("s2", "n3", "three")], "shard string, source string, text string")
     write_file_chunks(table, path)
-    assert spark.read.parquet(path).where("source = 'n1'").count() == 2
+    assert versions.read_table(spark, path).where("source = 'n1'").count() == 2
     reindex_file(spark.createDataFrame([("s1", "n1", "short")], table.schema), path)
-    got = {(r["source"], r["content"]) for r in spark.read.parquet(path).collect()}
+    got = {(r["source"], r["content"]) for r in versions.read_table(spark, path).collect()}
     assert got == {("n1", "short"), ("n2", "two"), ("n3", "three")}
-    sinks.delete_rows(path, "shard", spark.createDataFrame([("n3_0", "s2")], "chunk_id string, shard string"), "chunk_id")
-    assert spark.read.parquet(path).where("shard = 's2'").count() == 0
+    versions.delete_rows(path, spark.createDataFrame([("n3_0", "s2")], "chunk_id string, shard string"), ["chunk_id"])
+    assert versions.read_table(spark, path).where("shard = 's2'").count() == 0
 
 
 def test_stream_restart_reads_only_new_files(spark):
