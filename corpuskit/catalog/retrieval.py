@@ -13,6 +13,7 @@ from corpuskit.operators import embedding as E
 from corpuskit.operators.vectors import nearest
 from corpuskit.plans import answers as A
 from corpuskit.plans import retrieval as R
+from corpuskit.session import run_dir
 
 oracle_table("dists", """
     SELECT q.query_id, v.vec_id, v.collection, v.repo AS vrepo, q.repo AS qrepo, q.wanted, v.symbol_name, v.file,
@@ -172,14 +173,16 @@ oracle_table("bm_hits", r"""
 
 
 def bm25_index(t):
-    return B.build_index(t.documents, fields=("text",))
+    """Two segments: half of the documents, then the others added."""
+    path = run_dir(t.spark, "bm25")
+    B.create_index(t.documents.where("doc_id % 2 = 0"), path, fields=("text",))
+    return B.add_documents(t.documents.where("doc_id % 2 = 1"), path, fields=("text",))
 
 
 @query("R9_bm25_index", "SELECT term, df, round(idf, 6) AS idf, (SELECT n_docs FROM @bm_totals@) AS n_docs, round((SELECT avgdl FROM @bm_totals@), 6) AS avgdl FROM @bm_terms@")
 def r9(t):
     index = bm25_index(t)
-    n_docs, avgdl = index.totals.select("n_docs").scalar(), index.totals.select("avgdl").scalar()
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), n_docs.alias("n_docs"), F.round(avgdl, 6).alias("avgdl"))
+    return index.terms().select("term", "df", F.round("idf", 6).alias("idf"), F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"))
 
 
 @query("R10_bm25_search", "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM @bm_hits@")
