@@ -40,8 +40,8 @@ NEAR_SIZE, SHARE = 5, (4, 5)
 #: Prefixes are longer by one shingle in so many, so similar sets share that many more of them;
 #: two sets that meet by chance share ``FEW`` at least before they are compared ahead of the exact join.
 PART, FEW = 20, 3
-#: Rounds in which a set is compared with the ``POLES`` other sets it shares most with.
-ROUNDS, POLES = 2, 2
+#: How many other sets, of those it shares most with, a set is compared with ahead of the exact join.
+POLES = 2
 #: One text in so many is read for common shingles; so many of them come last in the order.
 SAMPLE, COMMON = 16, 1 << 18
 #: Bits of the map that picks the texts to read again; false hits only cost time.
@@ -164,43 +164,63 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``place`` may be one of ``wanted``, so that a join need not move the others."""
-    bit = F.pmod("place", F.lit(MAP_BITS)) + 1
-    put = wanted.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+def _map_of(values: DataFrame, name: str) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits in which those of ``values`` are set; other values may hit one too."""
+    bit = F.pmod(F.col(name).cast("long"), F.lit(MAP_BITS)) + 1
+    put = values.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 8, np.uint8)
     for at, part in put:
         bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
-    bits = wanted.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = np.mod(values, MAP_BITS)
+    return bits[at >> 3] >> (at & 7) & 1 == 1
+
+
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``place`` may be one of ``wanted``, so that a join need not move the others."""
+    bits = rows.sparkSession.sparkContext.broadcast(_map_of(wanted, "place"))
 
     @pandas_udf("boolean")
     def has(place: pd.Series) -> pd.Series:
-        at = np.mod(place.to_numpy(), MAP_BITS)
-        return pd.Series(bits.value[at >> 3] >> (at & 7) & 1 == 1)
+        return pd.Series(_hits(bits.value, place.to_numpy()))
 
     return rows.where(has("place"))
 
 
-def _sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node`` and ``tokens``, its whole shingle set; of copies, one text is read.
+def _held(column: str, tokens: DataFrame) -> Column:
+    """An array column without what can't be one of ``tokens``."""
+    bits = tokens.sparkSession.sparkContext.broadcast(_map_of(tokens, "token"))
+
+    @pandas_udf("array<int>")
+    def of(arrays: pd.Series) -> pd.Series:
+        return pd.Series([a[_hits(bits.value, a.astype(np.int64))] for a in arrays], dtype=object)
+
+    return of(column)
 
-    ``nodes`` has ``node``, ``k1``, ``k2`` and ``best``; ``texts`` has ``id``, ``h`` and ``text``.
+
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the ``pairs (u, v)`` of nodes whose shingle sets are similar, by the sets themselves.
+
+    ``prints`` has ``node``, ``k1``, ``k2`` and ``best``; ``texts`` has ``id``, ``h``
+    and ``text``.  Of copies, one text is read again; its set moves once, and
+    once more for each pair to the set it is compared with.
     """
+    num, den = SHARE
+
     @pandas_udf("k1 long, k2 long, tokens array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame({"k1": [_digest(s)[0] for s in sets], "k2": [_digest(s)[1] for s in sets], "tokens": sets})
 
-    placed = nodes.select("node", "k1", "k2", F.xxhash64("best.id", "best.h").alias("place"))
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    place = F.xxhash64("best.id", "best.h").alias("place")
+    placed = materialize(prints.select("node", "k1", "k2", "best").join(nodes, "node").select("node", "k1", "k2", place), "near-nodes")
     read = _picked(texts.withColumn("place", F.xxhash64("id", "h")), placed).select("place", of("text").alias("s")).select("place", "s.*")
-    # The digest names the set, so another text of the same place does no harm.
-    found = read.join(placed, ["place", "k1", "k2"])
-    return materialize(found.groupBy("node").agg(F.any_value("tokens").alias("tokens")), "near-sets")
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the ``pairs (u, v)`` of nodes whose shingle sets are similar, by the sets themselves."""
-    num, den = SHARE
+    # The digest names the set, so another text of the same place does no harm.  Both sides below are one shuffle.
+    sets = read.join(placed, ["place", "k1", "k2"]).groupBy("node").agg(F.any_value("tokens").alias("tokens"))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("tokens").alias(f"{c}_tokens"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("n", F.size(F.array_intersect("u_tokens", "v_tokens")))
     return both.where(F.col("n") * den >= (F.size("u_tokens") + F.size("v_tokens") - F.col("n")) * num).select("u", "v")
@@ -229,24 +249,23 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _least(n: Column) -> Column:
-    """Shingles that the prefix of a set of ``n`` shares at least with one as similar and not smaller."""
-    return F.floor(n / PART) + 1
+    """Shingles that the prefix of a set of ``n`` shares at least with one as similar and not smaller.
+
+    One less than that, as two shingles of a set may have the same short hash.
+    """
+    return F.greatest(F.floor(n / PART), F.lit(1))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` with the ``root`` of their node."""
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _poled(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs ``(u, v)``: each set and the few, in other components, that it shares most shingles with."""
-    own = _rooted(shared, roots)
-    end = lambda f: f(F.struct("root", "node"))
-    poles = own.groupBy("token", "band").agg(end(F.min).alias("low"), end(F.max).alias("high")).where("low.root <> high.root")
-    met = own.join(poles, ["token", "band"]).select("node", "n", "root", F.explode(F.array("low", "high")).alias("pole")).where("root <> pole.root")
-    met = met.groupBy("node", F.col("pole.node").alias("pole")).agg(F.count("*").alias("times"), F.max("n").alias("n"))
+def _poled(shared: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)``: each set and the few it shares most shingles with, of two for each shingle."""
+    poles = shared.groupBy("token", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = shared.join(poles, ["token", "band"]).select("node", "n", F.explode(F.array("low", "high")).alias("pole")).where("node <> pole")
+    met = met.groupBy("node", "pole").agg(F.count("*").alias("times"), F.max("n").alias("n"))
     few = met.where(F.col("times") >= F.least(F.lit(FEW), _least(F.col("n"))))
     return top_rows(few, ["node"], [F.desc("times"), F.col("pole")], POLES).select(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).distinct()
 
@@ -278,33 +297,26 @@ def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``fp``, ``prefix`` and ``best``;
     ``texts`` has ``id``, ``h`` and ``text``.  Similar sets share as many shingles
     of their prefixes as the smaller ``_least`` of the two.  Deletion variants of
-    the fingerprints link what they can, then each set meets the few others it
-    shares most with; both join large groups in a linear number of pairs.  At
-    last all pairs that are still in different components and share enough of
-    their prefixes meet, so no pair is missed and no group is spelled out.
-    Every pair is verified on the sets.
+    the fingerprints link what they can, and each set meets the few others it
+    shares most with; both join large groups in a linear number of pairs.  Then
+    all pairs that are still in different components and share enough of their
+    prefixes meet, so no pair is missed and no group is spelled out.  Every pair
+    is verified on the sets.
     """
     num, den = SHARE
-    spread = prints.select("node", "n", F.explode("prefix").alias("token"))
-    counts = spread.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    shared = spread.join(counts, "token").withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
+    every = prints.select(F.explode("prefix").alias("token"), "node")
+    # Few shingles of a prefix are anywhere else; the others are left out before anything is moved by them.
+    twice = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    twice = materialize(twice, "near-tokens")
+    known = prints.select("node", "n", _held("prefix", twice).alias("prefix"))
+    spread = known.select("node", "n", F.explode("prefix").alias("token"))
+    shared = spread.join(twice, "token").withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
     shared = materialize(shared, "near-shared")
-    signed = materialize(signature_pairs(prints.where("n > 0")), "near-signed")
-    # No other set can be in a pair.
-    able = shared.groupBy("node").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
-    able = able.where(F.col("rows") >= F.least(F.lit(FEW), _least(F.floor(F.col("n") * num / den)))).select("node")
-    nodes = able.unionByName(signed.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
-    sets = _sets(prints.select("node", "k1", "k2", "best").join(nodes, "node"), texts)
-    found = materialize(_similar(signed, sets), "near-links")
-    roots, tried = components(found, "near-roots"), signed
-    for _ in range(ROUNDS):
-        pairs = materialize(_poled(shared, roots).join(tried, ["u", "v"], "left_anti"), "near-met")
-        if pairs.isEmpty():
-            break
-        found, tried = found.unionByName(materialize(_similar(pairs, sets), "near-links")), tried.unionByName(pairs)
-        roots = components(found, "near-roots")
-    pairs = materialize(_apart(shared, roots).join(tried, ["u", "v"], "left_anti"), "near-met")
-    return components(found.unionByName(_similar(pairs, sets)), "near-roots")
+    tried = signature_pairs(prints.where("n > 0")).unionByName(_poled(shared)).distinct()
+    tried = materialize(tried, "near-met")
+    found = materialize(_similar(tried, prints, texts), "near-links")
+    pairs = materialize(_apart(shared, components(found, "near-roots")).join(tried, ["u", "v"], "left_anti"), "near-met")
+    return components(found.unionByName(_similar(pairs, prints, texts)), "near-roots")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,7 +332,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
 
-    @pandas_udf("k1 long, k2 long, n int, fp long, prefix array<long>")
+    # A token of a prefix is 32 bits of its shingle's hash: it only says which sets may be similar.
+    @pandas_udf("k1 long, k2 long, n int, fp long, prefix array<int>")
     def of(texts: pd.Series) -> pd.DataFrame:
         tokens, counts = common.value
         out = []
@@ -329,11 +342,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             at = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
             weight = np.where(tokens[at] == own, counts[at], 0) if len(tokens) else np.zeros(len(own), np.int64)
             keep = len(own) + -len(own) * SHARE[0] // SHARE[1] + 1 + len(own) // PART if len(own) else 0
-            out.append((*_digest(own), len(own), _majority([own]), own[np.argsort(weight, kind="stable")[:keep]]))
+            out.append((*_digest(own), len(own), _majority([own]), own[np.argsort(weight, kind="stable")[:keep]].astype(np.int32)))
         return pd.DataFrame(out, columns=["k1", "k2", "n", "fp", "prefix"])
 
     slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("s")).select("id", "h", "s.*")
-    slim = materialize(slim, "near-rows")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
     prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     prints = materialize(prints.select(F.monotonically_increasing_id().alias("node"), "*"), "near-prints")
