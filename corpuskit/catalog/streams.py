@@ -36,14 +36,14 @@ def z2(t):
         lines.where(part).select("value").write.mode("append").text(f"{path}/in")
     parsed = J.follow_text(t.spark, f"{path}/in").select(
         F.split("value", " ")[1].alias("log"), F.split("value", " ")[0].cast("bigint").alias("line_no"), error_line(F.col("value")).alias("is_error"))
-    return J.keep_last(parsed, f"{path}/view", ["log"], [F.desc("line_no")], 100)
+    return J.keep_last(parsed, f"{path}/view", ["log"], ["line_no"], 100)
 
 
 @query("Z3_conversation_state", """
     SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 AND conv_id % 10 <> 3""")
 def z3(t):
     path = run_dir(t.spark, "memory")
-    state = J.keep_last(_stream(t, "conversations"), path, ["conv_id"], [F.desc("turn")], 4)
+    state = J.keep_last(_stream(t, "conversations"), path, ["conv_id"], ["turn"], 4)
     cleared = t.conversations.where("conv_id % 10 = 3").select("conv_id").distinct()
     return J.forget(state, cleared, "conv_id").select("conv_id", "turn", "role")
 
@@ -100,7 +100,7 @@ _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'error' ELSE 'n
 def z8(t):
     path = run_dir(t.spark, "queue")
     results = _stream(t, "orders").select(F.col("o_custkey").alias("c_custkey"), F.expr(_STATUS).alias("status"), "o_orderdate", "o_orderkey")
-    newest = J.keep_last(results, path, ["c_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 1)
+    newest = J.keep_last(results, path, ["c_custkey"], ["o_orderdate", "o_orderkey"], 1)
     return J.queue_state(t.customer.select("c_custkey"), newest, "c_custkey")
 
 

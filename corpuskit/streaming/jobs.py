@@ -1,10 +1,10 @@
 """Incremental jobs on Structured Streaming.
 
 Each job reads files as they arrive, remembers its place in a checkpoint and
-stops when it has caught up; running it again takes only what is new.  State
-that a job keeps is a table of versions, one per micro-batch.  A batch that is
-repeated after a failure writes the same version again, so results do not
-depend on lost executors.
+stops when it has caught up; running it again takes only what is new.  What a
+job knows of its keys is in the state store (``state``).  A batch that is
+repeated after a failure gives the same again, so results do not depend on lost
+executors.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuskit.operators.scan import top_rows
 from corpuskit.plans.analytics import with_rate
 from corpuskit.plans.answers import ledger, validate
 from corpuskit.sources.sinks import append_unseen
+from corpuskit.streaming.state import first_rows, kept_rows, last_rows, state_store
 
 
 def follow_table(spark: SparkSession, folder: str, files: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
@@ -52,28 +52,21 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).scalar()).drop("v")
+def keep_last(stream: DataFrame, path: str, keys: list[str], order: list[str], n: int, idle_ms: int | None = None) -> DataFrame:
+    """Last ``n`` rows of each key, by ``order``, over all batches so far.
 
-
-def keep_last(stream: DataFrame, path: str, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """Last ``n`` rows of each key over all batches so far.
-
-    Rows beyond ``n`` are dropped before the shuffle, so a hot key costs each
-    task at most ``n`` rows and the state at most ``n`` per key.
+    They are list state of their keys: a batch touches its own keys only, each
+    task first drops what is beyond ``n`` for a key, and a key that gets no rows
+    for ``idle_ms`` is forgotten.  With that clock a run is one batch, as there is
+    always a later one to wait for.
     """
-    spark = stream.sparkSession
-    schema = stream.schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.schema(schema).parquet(f"{path}/state/v={batch_id - 1}").unionByName(batch)
-        top_rows(rows, keys, order, n, "__r").drop("__r").write.mode("overwrite").parquet(f"{path}/state/v={batch_id}")
-
-    catch_up(stream, f"{path}/checkpoint", merge)
-    return latest_version(spark, f"{path}/state")
+    until = {"once": True} if idle_ms else {"availableNow": True}
+    checkpoint = f"{path}/checkpoint"
+    with state_store(stream.sparkSession):
+        query = last_rows(stream, keys, order, n, idle_ms).writeStream.format("noop").outputMode("update").option(
+            "checkpointLocation", checkpoint).trigger(**until).start()
+        query.awaitTermination()
+    return kept_rows(stream.sparkSession, checkpoint).select(*stream.columns)
 
 
 def forget(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -82,8 +75,26 @@ def forget(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def ingest_once(stream: DataFrame, table: str, checkpoint: str, key: str) -> None:
-    """Append chunks whose id the table lacks; replays add nothing."""
-    catch_up(stream, checkpoint, lambda batch, _: append_unseen(batch, table, key))
+    """Append rows whose key neither the table has nor the stream has had; replays add nothing.
+
+    Keys are state.  The table itself is followed as well, its files only mark
+    their keys; so a batch costs its own rows and what was added to the table
+    since, not the table.  Only the first batch of a run, which may be one that
+    failed behind its write, is held against the table's keys.
+    """
+    spark = stream.sparkSession
+    known = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table).select(*stream.columns)
+    both = stream.withColumn("__known", F.lit(False)).unionByName(known.withColumn("__known", F.lit(True)))
+    again = iter([True])
+
+    def add(batch: DataFrame, _: int) -> None:
+        if next(again, False):
+            append_unseen(batch, table, key)
+        else:
+            batch.write.mode("append").parquet(table)
+
+    with state_store(spark):
+        catch_up(first_rows(both, key), checkpoint, add)
 
 
 def validate_stream(generations: DataFrame, contexts: DataFrame, path: str, checkpoint: str) -> None:

@@ -211,7 +211,7 @@ def test_stream_restart_reads_only_new_files(spark):
 
     def state():
         stream = spark.readStream.schema(schema).parquet(f"{path}/in")
-        return sorted(tuple(r) for r in jobs.keep_last(stream, f"{path}/view", ["k"], [F.desc("n")], 2).collect())
+        return sorted(tuple(r) for r in jobs.keep_last(stream, f"{path}/view", ["k"], ["n"], 2).collect())
 
     push([("a", 1), ("a", 2), ("b", 1)])
     assert state() == [("a", 1), ("a", 2), ("b", 1)]
