@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuskit.catalog.inputs import text_template
 from corpuskit.catalog.registry import query
 from corpuskit.functions import tags as G
+from corpuskit.operators.dictionary import dictionary_of, tagged
 from corpuskit.operators.embedding import map_points
 from corpuskit.plans import analytics as A
 from corpuskit.plans import answers
@@ -188,4 +189,5 @@ _TAGS = {"articles": ("the ", "le ", "der ", "el "), "plural": ("s ",), "questio
 
 @query("V7_own_dictionary", f"SELECT doc_id, {G.tags_sql('text', _TAGS)} AS tags FROM documents")
 def v7(t):
-    return t.documents.select("doc_id", F.array_join(G.tags_of(F.col("text"), _TAGS), "|").alias("tags"))
+    found = tagged(t.documents.select("doc_id", "text"), dictionary_of(t.spark, _TAGS), "text")
+    return found.select("doc_id", F.array_join("tags", "|").alias("tags"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from corpuskit.catalog.registry import query
 from corpuskit.functions.text import token_count
 from corpuskit.plans import quality as Q
+from corpuskit.session import run_dir
+from corpuskit.sources.rejects import read_checked
+from corpuskit.sources.tables import EVENT_SCHEMA
 
 
 @query("Q1_required_fields", """
@@ -77,8 +80,15 @@ def q10(t):
     return broken_links(notes, t.contexts.select(F.col("source").alias("name")), "gen_id").groupBy("target").agg(F.count("*").alias("notes"))
 
 
-@query("Q11_failure_rate", """
-    SELECT repo, count(*) AS files, count(*) FILTER (n_chars < 40) AS failed, round(count(*) FILTER (n_chars < 40) / count(*), 6) AS rate,
-      CASE WHEN count(*) FILTER (n_chars < 40) / count(*) > 0.05 THEN 'stop' WHEN count(*) FILTER (n_chars < 40) / count(*) >= 0.02 THEN 'warn' ELSE 'ok' END AS verdict FROM @symbols@ GROUP BY repo""")
+_BAD_LINE = "event_id % 100 < user_id % 10"
+
+
+@query("Q11_failure_rate", f"""
+    SELECT 'app' || user_id % 20 AS subject, count(*) AS lines, count(*) FILTER ({_BAD_LINE}) AS failed, round(count(*) FILTER ({_BAD_LINE}) / count(*), 6) AS rate,
+      CASE WHEN count(*) FILTER ({_BAD_LINE}) / count(*) > 0.05 THEN 'stop' WHEN count(*) FILTER ({_BAD_LINE}) / count(*) >= 0.02 THEN 'warn' ELSE 'ok' END AS verdict FROM events GROUP BY ALL""")
 def q11(t):
-    return Q.failure_rate(t.symbols, F.col("n_chars") < 40, "repo")
+    path = run_dir(t.spark, "app-logs")
+    line = F.to_json(F.struct(F.col("event_id").cast("double").alias("ts"), F.col("event_type").alias("event")))
+    rows = t.events.select(F.concat(F.lit("app"), F.col("user_id") % 20).alias("app"), F.when(F.expr(_BAD_LINE), F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    rows.repartition("app").write.partitionBy("app").text(path)
+    return read_checked(t.spark, path, EVENT_SCHEMA).rates(F.regexp_extract("file", "app=([^/]+)", 1))

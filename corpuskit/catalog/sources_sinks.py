@@ -17,6 +17,8 @@ from corpuskit.sources import files as S
 from corpuskit.sources import sinks as K
 from corpuskit.sources import tables as T
 from corpuskit.sources import versions as V
+from corpuskit.sources.note_writer import write_notes
+from corpuskit.sources.rejects import read_checked
 
 
 @query("S5_preferred_json_tables", """
@@ -56,7 +58,7 @@ def s7(t):
 def s8(t):
     path = run_dir(t.spark, "notes")
     name = F.concat(F.when(F.col("doc_id") % 9 == 4, "_n").otherwise("n"), "doc_id")
-    K.write_notes(t.documents.select(F.concat(F.lit("sub/"), "source", F.lit("/"), name, F.lit(".md")).alias("path"), F.col("text").alias("content")), path)
+    write_notes(t.documents.select(F.concat(F.lit("sub/"), "source", F.lit("/"), name, F.lit(".md")).alias("path"), F.col("text").alias("content")), path)
     return S.read_notes(t.spark, path).select("name", "size")
 
 
@@ -77,7 +79,19 @@ def _log_text(t):
 def s10(t):
     path = run_dir(t.spark, "session-log")
     _log_text(t).write.text(path)
-    return T.read_json_lines(t.spark, path, T.EVENT_SCHEMA).where("ts > 5000").select("ts", "event", "rss_mb")
+    return read_checked(t.spark, path, T.EVENT_SCHEMA).kept().where("ts > 5000").select("ts", "event", "rss_mb")
+
+
+@query("S10_rejected_lines", """
+    SELECT log, reason, line, count(*) AS n FROM (SELECT event_type AS log, CASE event_id % 11 WHEN 5 THEN 'broken' WHEN 6 THEN 'mismatch' ELSE 'empty' END AS reason,
+      CASE event_id % 11 WHEN 5 THEN chr(123) || 'broken' WHEN 6 THEN chr(123) || '"ts":"never"' || chr(125) ELSE ' ' END AS line FROM events WHERE event_id % 11 IN (5, 6, 7)) GROUP BY ALL""")
+def s10_rejects(t):
+    path = run_dir(t.spark, "rejected-log")
+    bad = F.when(F.col("event_id") % 11 == 5, "{broken").when(F.col("event_id") % 11 == 6, '{"ts":"never"}').when(F.col("event_id") % 11 == 7, " ")
+    line = F.to_json(F.struct(F.col("event_id").cast("double").alias("ts"), F.col("event_type").alias("event")))
+    t.events.select("event_type", F.coalesce(bad, line).alias("value")).write.partitionBy("event_type").text(path)
+    rejects = read_checked(t.spark, path, T.EVENT_SCHEMA).rejects()
+    return rejects.groupBy(F.regexp_extract("file", "event_type=([^/]+)", 1).alias("log"), "reason", "line").agg(F.count("*").alias("n"))
 
 
 @query("S11_text_log_tail", """
@@ -151,7 +165,7 @@ def k6(t):
 @query("K7_note_sink", "SELECT 'Repos/' || source || '/' || doc_id AS name, sha256(text) AS content_hash FROM documents")
 def k7(t):
     path = run_dir(t.spark, "vault")
-    K.write_notes(t.documents.select(F.concat(F.lit("Repos/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content")), path)
+    write_notes(t.documents.select(F.concat(F.lit("Repos/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content")), path)
     read = S.read_notes(t.spark, path)
     return read.select(F.regexp_extract("path", r"(Repos/.*)\.md$", 1).alias("name"), F.sha2("text", 256).alias("content_hash"))
 

@@ -6,11 +6,11 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.plans.chunks import collection_of
+from corpuskit.sources.note_writer import file_system
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
@@ -30,8 +30,9 @@ def append_unseen(new: DataFrame, path: str, key: str) -> None:
 
 
 def _write_files(root: str):
+    """A function of a partition's ``(path, content)`` rows that writes each as a file, at once."""
     def write(rows: Iterator) -> None:
-        files, top = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        files, top = file_system(root)
         made: set[str] = set()
         for row in rows:
             target = f"{top}/{row['path']}"
@@ -46,15 +47,3 @@ def _write_files(root: str):
             files.move(part, target)
 
     return write
-
-
-def write_notes(notes: DataFrame, root: str) -> None:
-    """One markdown file per row of ``(path, content)`` below a folder all executors share.
-
-    ``root`` is a path or a URI of any file system that the executors reach.
-    Two notes of one path would overwrite each other, so they raise.
-    """
-    twice = notes.groupBy("path").count().where("count > 1").select("path").head(3)
-    if twice:
-        raise ValueError(f"several notes have the path {', '.join(r.path for r in twice)}")
-    notes.select("path", "content").foreachPartition(_write_files(root))

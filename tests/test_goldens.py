@@ -12,8 +12,9 @@ from corpuskit.operators.embedding import map_points
 from corpuskit.plans import answers, code, history, manual, vault
 from corpuskit.plans.reindex import reindex_file, write_file_chunks
 from corpuskit.session import run_dir
-from corpuskit.sources import sinks, tables, versions
+from corpuskit.sources import tables, versions
 from corpuskit.sources.files import manifest_modules, manifest_packages, read_notes, read_source_tree
+from corpuskit.sources.note_writer import write_notes
 from corpuskit.streaming import jobs
 
 
@@ -190,7 +191,7 @@ def test_manifests_and_imports(spark):
 
 def test_note_sink_and_reindex(spark, tmp_path):
     notes = spark.createDataFrame([("a/x.md", "# x"), ("_skip.md", "no")], "path string, content string")
-    sinks.write_notes(notes, str(tmp_path))
+    write_notes(notes, str(tmp_path))
     assert [r["name"] for r in read_notes(spark, str(tmp_path)).collect()] == ["x"]
     path = run_dir(spark, "reindex-test")
     table = spark.createDataFrame([("s1", "n1", "one " * 400), ("s1", "n2", "two"), ("s2", "n3", "three")], "shard string, source string, text string")
