@@ -164,7 +164,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _map_of(values: DataFrame, name: str) -> np.ndarray:
+def map_of(values: DataFrame, name: str) -> np.ndarray:
     """A map of ``MAP_BITS`` bits in which those of ``values`` are set; other values may hit one too."""
     bit = F.pmod(F.col(name).cast("long"), F.lit(MAP_BITS)) + 1
     put = values.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
@@ -174,29 +174,29 @@ def _map_of(values: DataFrame, name: str) -> np.ndarray:
     return bits
 
 
-def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+def hits_of(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     at = np.mod(values, MAP_BITS)
     return bits[at >> 3] >> (at & 7) & 1 == 1
 
 
 def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ``rows`` whose ``place`` may be one of ``wanted``, so that a join need not move the others."""
-    bits = rows.sparkSession.sparkContext.broadcast(_map_of(wanted, "place"))
+    bits = rows.sparkSession.sparkContext.broadcast(map_of(wanted, "place"))
 
     @pandas_udf("boolean")
     def has(place: pd.Series) -> pd.Series:
-        return pd.Series(_hits(bits.value, place.to_numpy()))
+        return pd.Series(hits_of(bits.value, place.to_numpy()))
 
     return rows.where(has("place"))
 
 
 def _held(column: str, tokens: DataFrame) -> Column:
     """An array column without what can't be one of ``tokens``."""
-    bits = tokens.sparkSession.sparkContext.broadcast(_map_of(tokens, "token"))
+    bits = tokens.sparkSession.sparkContext.broadcast(map_of(tokens, "token"))
 
     @pandas_udf("array<int>")
     def of(arrays: pd.Series) -> pd.Series:
-        return pd.Series([a[_hits(bits.value, a.astype(np.int64))] for a in arrays], dtype=object)
+        return pd.Series([a[hits_of(bits.value, a.astype(np.int64))] for a in arrays], dtype=object)
 
     return of(column)
 

@@ -19,20 +19,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from corpuskit.llm.simhash import hits_of, map_of
 from corpuskit.session import materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 _STARTS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Least G statistic of a feature; chance alone exceeds it for one in 600.
-SURE = 10.0
+#: Least G statistic of a feature; chance alone exceeds it for one in 600.  And the fewest positives that must hold it.
+SURE, FEWEST = 10.0, 3
 #: Words whose features a worker remembers.
 KEPT = 1 << 19
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """How much the fit may take in; everything else covers all rows.
+    """How much the descent may take in; which features there are is counted over all rows.
 
     ``positives`` and ``unlabelled`` texts at most, about, chosen by a hash of
     their ids, and the ``features`` that tell the two apart best.
@@ -103,6 +104,43 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.lit(most * (1 << 20) // total))
 
 
+def _features_of(text: str) -> Column:
+    @pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(features(t)) for t in texts], dtype=object)
+
+    return of(text)
+
+
+def _telling(rows: DataFrame, known: DataFrame, most: int) -> list[int]:
+    """The ``most`` features that are most surely more frequent in the ``known`` than in all ``rows``, sorted.
+
+    Both are counted over all rows.  A map of the features that enough of the
+    known have keeps all others out of the second count.
+    """
+    positives = rows.join(known, "id", "left_semi")
+    listed = materialize(positives.select(_features_of("text").alias("f")), "toxicity-positives")
+    n_pos, n_all = listed.count(), rows.count()
+    if not n_pos:
+        return []
+    held = listed.select(F.explode("f").alias("feature")).groupBy("feature").agg(F.count("*").alias("p")).where(F.col("p") >= FEWEST)
+    held = materialize(held, "toxicity-features")
+    bits = rows.sparkSession.sparkContext.broadcast(map_of(held, "feature"))
+
+    @pandas_udf("array<long>")
+    def able(texts: pd.Series) -> pd.Series:
+        found = (np.fromiter(features(t), np.int64) for t in texts)
+        return pd.Series([f[hits_of(bits.value, f)] for f in found], dtype=object)
+
+    everywhere = rows.select(F.explode(able("text")).alias("feature")).groupBy("feature").agg(F.count("*").alias("u"))
+    both = held.join(everywhere, "feature")
+    # The G statistic says how surely a feature is more frequent in the positives.
+    part = lambda c, n: F.col(c) * F.log(F.col(c) * (n_pos + n_all) / ((F.col("p") + F.col("u")) * n))
+    gain = 2 * (part("p", n_pos) + part("u", n_all))
+    telling = both.where((F.col("p") * n_all > F.col("u") * n_pos) & (gain > SURE)).orderBy(gain.desc(), "feature").limit(most)
+    return sorted(r[0] for r in telling.select("feature").collect())
+
+
 def fit(docs: DataFrame, positive_ids: DataFrame, prior: float, bounds: Bounds = Bounds(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the ``docs`` that ``positive_ids`` names against all of ``docs``.
 
@@ -113,29 +151,16 @@ def fit(docs: DataFrame, positive_ids: DataFrame, prior: float, bounds: Bounds =
     prior = min(max(prior, 1e-3), 0.5)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = positive_ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    names = _telling(rows, known, bounds.features)
     chosen = rows.join(_sample(known, bounds.positives), "id", "left_semi").withColumn("positive", F.lit(True))
     chosen = chosen.unionByName(_sample(rows, bounds.unlabelled).withColumn("positive", F.lit(False)))
-
-    @pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(features(t)) for t in texts], dtype=object)
-
-    examples = materialize(chosen.select("positive", F.monotonically_increasing_id().alias("row"), of("text").alias("features")), "toxicity-examples")
+    own = F.array_intersect(_features_of("text"), F.lit(names) if names else F.array().cast("array<long>"))
+    examples = materialize(chosen.select("positive", F.monotonically_increasing_id().alias("row"), own.alias("features")), "toxicity-examples")
     sizes = dict(examples.groupBy("positive").count().collect())
     n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_pos or not n_unl:
-        return Model(float(np.log(prior / (1 - prior))), {})
-    count = lambda side: F.count(F.when(F.col("positive") == side, 1))
-    seen = examples.select("positive", F.explode("features").alias("feature")).groupBy("feature").agg(count(True).alias("p"), count(False).alias("u"))
-    # The G statistic says how surely a feature is more frequent in the positives.
-    hits = F.col("p") + F.col("u")
-    part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n_pos + n_unl) / (hits * n))).otherwise(0.0)
-    gain = 2 * (part("p", n_pos) + part("u", n_unl))
-    telling = seen.where((F.col("p") * n_unl > F.col("u") * n_pos) & (F.col("p") >= max(3, -(-n_pos // 100))) & (gain > SURE)).orderBy(gain.desc(), "feature").limit(bounds.features)
-    names = sorted(r[0] for r in telling.select("feature").collect())
-    if not names:
+    if not n_pos or not n_unl or not names:
         return Model(float(np.log(prior / (1 - prior))), {})
-    short = examples.select("positive", "row", F.array_intersect("features", F.lit(names)).alias("features")).orderBy("row").collect()
+    short = examples.orderBy("row").collect()
     place = {f: i for i, f in enumerate(names)}
     sides = {True: np.zeros((n_pos, len(names)), np.float32), False: np.zeros((n_unl, len(names)), np.float32)}
     at = {True: 0, False: 0}
