@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuskit.operators.scan import top_rows
+from corpuskit.session import materialize
 
 QUERIES_PER_BLOCK = 2_048
 VECTORS_PER_PRODUCT = 4_096
@@ -104,8 +105,6 @@ def nearest(
             np.stack(ask["query_vec"]).astype("float64"), (k.get if isinstance(k, dict) else lambda _: k), metric, allowed)
 
     ceiling = k if isinstance(k, int) else max(k.values())
-    asked = queries.withColumn("__block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERIES_PER_BLOCK))
-
     def against(block: pd.DataFrame) -> DataFrame:
         shipped = vectors.sparkSession.sparkContext.broadcast(block)
 
@@ -123,10 +122,12 @@ def nearest(
         return vectors.mapInPandas(in_place, schema)
 
     found = vectors.sparkSession.createDataFrame([], schema)
-    total = queries.count()
-    for n in range(-(-total // QUERIES_PER_BLOCK)):
-        # One block at a time is on the driver; a single one needs no numbering.
-        part = queries if total <= QUERIES_PER_BLOCK else asked.where(F.col("__block") == n).drop("__block")
+    blocks = -(-queries.count() // QUERIES_PER_BLOCK)
+    if blocks > 1:  # dealt by hash, so blocks have about that many queries; written once for all of them
+        queries = materialize(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "query-blocks")
+    for n in range(blocks):
+        # One block at a time is on the driver.
+        part = queries.where(F.col("__block") == n).drop("__block") if blocks > 1 else queries
         found = found.unionByName(against(part.toPandas()))
     ranked = top_rows(found, ["query_id", "grp"], [F.col("distance"), F.col("vec_id")], ceiling)
     if isinstance(k, dict):
