@@ -154,9 +154,9 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str], small: int = S
     are over ``small`` nodes.  No nodes give no rows.
     """
     top, sums = ["top", "top_depth"], [f"sum_{v}" for v in values]
-    state = nodes.select(
-        "owner", "depth", "up", "below", *values, *[F.lit(0).cast("long").alias(s) for s in sums],
-        F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("top_depth"))
+    none = F.lit(0).cast("long")
+    # Written, as a join on columns that are constants would be none by keys.
+    state = materialize(nodes.select("owner", "depth", "up", "below", *values, *[none.alias(s) for s in sums], none.alias("top"), none.alias("top_depth")), "trie-components")
     ready, done, steps = [], [], None
     while True:
         sized = state.groupBy(*top).agg(F.max("below").alias("whole"), F.count("*").alias("n"))
