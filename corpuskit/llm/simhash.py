@@ -261,11 +261,20 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _poled(shared: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)``: each set and the few it shares most shingles with, of two for each shingle."""
-    poles = shared.groupBy("token", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    met = shared.join(poles, ["token", "band"]).select("node", "n", F.explode(F.array("low", "high")).alias("pole")).where("node <> pole")
-    met = met.groupBy("node", "pole").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+def _poled(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(u, v)``: each set and the few, in other components, that it shares most shingles with.
+
+    A shingle offers the two sets that hold most of what is common: where copies
+    were edited each in its own way, these are the ones all others are near to.
+    """
+    own = shared.withColumn("root", F.col("node")) if roots is None else _rooted(shared, roots)
+    end = F.struct("common", "node", "root")
+    most = own.groupBy("token", "band").agg(F.max(end).alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # The second is of another component than the first, so the first's own has one to meet as well.
+    other = own.join(most.select("token", "band", F.col("first.root").alias("taken")), ["token", "band"]).where("root <> taken")
+    poles = most.join(other.groupBy("token", "band").agg(F.max(end).alias("second")), ["token", "band"])
+    met = own.join(poles, ["token", "band"]).select("node", "n", "root", F.explode(F.array("first", "second")).alias("pole")).where("root <> pole.root")
+    met = met.groupBy("node", F.col("pole.node").alias("pole")).agg(F.count("*").alias("times"), F.max("n").alias("n"))
     few = met.where(F.col("times") >= F.least(F.lit(FEW), _least(F.col("n"))))
     return top_rows(few, ["node"], [F.desc("times"), F.col("pole")], POLES).select(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).distinct()
 
@@ -306,15 +315,17 @@ def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     num, den = SHARE
     every = prints.select(F.explode("prefix").alias("token"), "node")
     # Few shingles of a prefix are anywhere else; the others are left out before anything is moved by them.
-    twice = every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    twice = materialize(twice, "near-tokens")
+    twice = materialize(every.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1"), "near-tokens")
     known = prints.select("node", "n", _held("prefix", twice).alias("prefix"))
     spread = known.select("node", "n", F.explode("prefix").alias("token"))
     shared = spread.join(twice, "token").withColumn("band", F.floor(F.log("n") / math.log(den / num) + 1e-9).cast("int"))
-    shared = materialize(shared, "near-shared")
+    common = shared.groupBy("node").agg(F.sum("rows").alias("common"))
+    shared = materialize(shared.drop("rows").join(common, "node"), "near-shared")
     tried = signature_pairs(prints.where("n > 0")).unionByName(_poled(shared)).distinct()
     tried = materialize(tried, "near-met")
     found = materialize(_similar(tried, prints, texts), "near-links")
+    more = materialize(_poled(shared, components(found, "near-roots")).join(tried, ["u", "v"], "left_anti"), "near-met")
+    found, tried = found.unionByName(materialize(_similar(more, prints, texts), "near-links")), tried.unionByName(more)
     pairs = materialize(_apart(shared, components(found, "near-roots")).join(tried, ["u", "v"], "left_anti"), "near-met")
     return components(found.unionByName(_similar(pairs, prints, texts)), "near-roots")
 
