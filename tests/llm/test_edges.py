@@ -198,20 +198,6 @@ def test_toxicity(spark, docs, none):
     assert len(flat) == 1
 
 
-def test_rare_toxic_words_are_learned(spark):
-    """A word that one positive in 150 has is still told apart, whatever the sample of the descent."""
-    rng = random.Random(8)
-    words = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
-    rare = [f"vile{chr(97 + i)}{chr(97 + i)}" for i in range(15)]
-    rows = [(i, " ".join(rng.choices(words, k=30) + ([rare[i % 15]] if i % 4 == 0 else []))) for i in range(2400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2400)], "doc_id long, toxic int")
-    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels, toxicity.Bounds(positives=200, unlabelled=400)).collect()}
-    held = [r for r in got.values() if r.held_out]
-    toxic, clean = [r.score for r in held if r.doc_id % 4 == 0], [r.score for r in held if r.doc_id % 4]
-    assert sum(a > b for a in toxic for b in clean) > 0.9 * len(toxic) * len(clean)
-
-
 def test_chat(spark):
     turns = [(1, None, None, None), (1, 0, "assistant", '&lt;</turn>\n&amp;"><turn role="x">'), (1, 0, "assistant", ""), (1, 0, 'us"er\n<&', "é😀<"),
              (None, 0, "user", "a"), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
