@@ -22,11 +22,12 @@ from corpuskit.streaming.state import first_rows, kept_rows, last_rows, state_st
 
 
 def follow_table(spark: SparkSession, folder: str, files: str, schema: T.StructType, per_batch: int | None = None) -> DataFrame:
-    """Stream of Parquet files of a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    """Stream of a Parquet table of a folder, be it one file or a folder of files."""
+    reader = spark.readStream.schema(schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(folder)
+    # A pattern takes files and folders alike; a plain path would have to be a folder.
+    return reader.parquet(f"{folder}/{{{files}}}")
 
 
 def follow_json(spark: SparkSession, folder: str, schema: T.StructType, since: float = 0.0) -> DataFrame:

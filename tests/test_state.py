@@ -95,3 +95,16 @@ def test_a_batch_repeated_behind_its_write(spark):
         assert "lost" in str(e)
     jobs.ingest_once(stream(spark, path), table, f"{path}/cp", "k")
     assert sorted(r.k for r in spark.read.parquet(table).collect()) == ["a", "b"]
+
+
+def test_a_table_is_one_file_or_a_folder(spark):
+    """Z3, Z4: large tables are folders of files, which a filter on file names left out."""
+    path = run_dir(spark, "table-of-files")
+    rows = spark.range(40).selectExpr("cast(id % 8 as string) as k", "cast(id as int) as n", "'x' as t")
+    rows.repartition(4).write.parquet(f"{path}/many.parquet")
+    rows.where("n < 0").write.parquet(f"{path}/none.parquet")
+    files = spark.read.format("binaryFile").load(f"{path}/many.parquet").select("path").collect()
+    view = lambda folder, name, at: {(r.k, r.n) for r in jobs.keep_last(jobs.follow_table(spark, folder, name, rows.schema), f"{path}/{at}", ["k"], ["n"], 2).collect()}
+    assert view(path, "many.parquet", "view") == {(str(k), k + 8 * i) for k in range(8) for i in (3, 4)}
+    one = files[0].path.rsplit("/", 1)
+    assert len(view(*one, "single")) > 0 and view(path, "none.parquet", "nothing") == set()
