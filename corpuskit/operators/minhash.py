@@ -17,10 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.operators.sketches import may_be_similar, sketch
+from corpuskit.session import materialize
+
 #: Permutations and rows of a band: at a similarity of 0.6 a pair meets in one of 32 bands with a probability of 0.988.
 PERMUTATIONS, ROWS = 128, 4
 #: Sets of a bucket that one task holds against each other.
 TILE = 5_000
+#: 1,024 places tell sets of up to some 800 tokens apart.
+SKETCH_WORDS = 16
 SEED = 7
 
 
@@ -51,29 +56,33 @@ def signature(tokens: Column) -> Column:
 
 
 def banded(sets: DataFrame) -> DataFrame:
-    """``set_id``, ``n`` and a ``bucket`` for every band of the set's signature."""
-    signed = sets.select("set_id", "n", signature(F.col("tokens")).alias("sig"))
+    """``set_id``, ``n``, ``sketch`` and a ``bucket`` for every band of the set's signature, from signatures written once."""
+    signed = sets.select("set_id", "n", sketch(F.col("tokens"), F.lit(SKETCH_WORDS)).alias("sketch"), signature(F.col("tokens")).alias("sig"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(PERMUTATIONS // ROWS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
-    return signed.select("set_id", "n", F.explode(bands).alias("bucket"))
+    signed = materialize(signed.select("set_id", "n", "sketch", bands.alias("buckets")), "signatures")
+    return signed.select("set_id", "n", "sketch", F.explode("buckets").alias("bucket"))
 
 
 def minhash_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(short_id, long_id)`` of ``sets (set_id, tokens, n)`` that share a bucket and may reach ``threshold`` by their sizes.
+    """Pairs ``(short_id, long_id)`` of ``sets (set_id, tokens, n)`` that share a bucket and may reach ``threshold`` by their sizes and sketches.
 
     A bucket of many sets is cut into blocks, and every pair of blocks is a tile
-    of its own, so no task holds a bucket.  A set without others in its buckets
-    is left behind before the join.
+    of its own, so no task holds a bucket.  Unlike sets that share a bucket by
+    chance grow with the square of the sets; their sketches end them in the join.
     """
     rows = banded(sets)
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = counts.select("bucket", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    # one row per TILE rows at most
+    blocks = F.broadcast(rows.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > TILE).select(
+        "bucket", F.ceil(F.col("m") / TILE).cast("int").alias("blocks")))
+    placed = rows.join(blocks, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn(
+        "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     tile = lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))
-    spread = placed.select("bucket", "set_id", "n", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), tile)).alias("tile"))
-    side = lambda c: spread.select("bucket", "tile", F.col("set_id").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("block").alias(f"{c}_block"))
+    spread = placed.select("bucket", "set_id", "n", "sketch", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), tile)).alias("tile"))
+    side = lambda c: spread.select("bucket", "tile", *[F.col(x).alias(f"{c}_{y}") for x, y in (("set_id", "id"), ("n", "n"), ("sketch", "sketch"), ("block", "block"))])
     c = F.col
     in_order = (c("short_n") < c("long_n")) | ((c("short_n") == c("long_n")) & (c("short_id") < c("long_id")))
     # In the tile of two blocks only sets of different blocks meet.
     own = (c("tile.i") == c("tile.j")) | (c("short_block") != c("long_block"))
-    met = side("short").join(side("long"), ["bucket", "tile"]).where(in_order & own & (c("short_n") >= c("long_n") * threshold - 1e-6))
+    long_enough = c("short_n") >= c("long_n") * threshold - 1e-6
+    met = side("short").join(side("long"), ["bucket", "tile"]).where(in_order & own & long_enough & may_be_similar(threshold))
     return met.select("short_id", "long_id").distinct()
