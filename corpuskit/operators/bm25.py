@@ -62,7 +62,8 @@ def _write_segment(docs: DataFrame, path: str, doc_id: str, fields: tuple[str, .
     """Postings, levels and term lists of documents with any text; the segment's row for the list of segments."""
     spark, folder = docs.sparkSession, f"{path}/segments/{uuid.uuid4().hex}"
     text = F.concat_ws(" ", *[F.nullif(F.col(f), F.lit("")) for f in fields])
-    live = docs.select(F.col(doc_id).alias("doc_id"), text.alias("__t")).where(F.trim("__t") != "").select("doc_id", tokens(F.col("__t")).alias("w"))
+    # Texts move once, by document; its words are counted and listed where they are split.
+    live = docs.select(F.col(doc_id).alias("doc_id"), text.alias("__t")).where(F.trim("__t") != "").repartition("doc_id").select("doc_id", tokens(F.col("__t")).alias("w"))
     listed = live.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term"))
     counted = listed.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"))
     # A term and its frequency are one entry of the document's list, and later one posting.
@@ -131,14 +132,14 @@ def _chosen(index: Bm25Index, bounds: DataFrame, k: int) -> DataFrame:
     # What a term with a negative weight can take away.
     below = bounds.groupBy("query_id", "term").agg(F.min(F.least(F.lit(0.0), F.col("weight") * (K1 + 1))).alias("low")).groupBy("query_id").agg(F.sum("low").alias("low"))
     reached = top_rows(_scored(index, first), ["query_id"], [F.desc("s"), F.col("doc_id")], k, "r").where(F.col("r") == k)
-    floors = below.join(reached.select("query_id", "s"), "query_id", "left").select("query_id", (F.coalesce(F.col("s") + F.col("low"), F.lit(0.0)) - SLACK).alias("floor"))
+    floors = below.join(reached.select("query_id", "s"), "query_id", "left").select("query_id", "low", (F.coalesce(F.col("s") + F.col("low"), F.lit(0.0)) - SLACK).alias("floor"))
     per_term = bounds.select("query_id", "term", "best").distinct()
     order = Window.partitionBy("query_id").orderBy("best", "term")
     sums = per_term.withColumns({"upto": F.sum("best").over(order), "all": F.sum("best").over(Window.partitionBy("query_id"))}).join(floors, "query_id")
     # The weakest terms whose bests together stay below the floor bring in nothing alone.
     sums = sums.withColumn("unread", F.col("upto") < F.col("floor"))
     rest = sums.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("unread"), F.col("upto"))), F.lit(0.0)).alias("rest"))
-    put = bounds.join(sums.select("query_id", "term", "all", "floor", "unread"), ["query_id", "term"]).join(rest, "query_id")
+    put = bounds.join(sums.select("query_id", "term", "all", "floor", "low", "unread"), ["query_id", "term"]).join(rest, "query_id")
     read = ~F.col("unread") & (F.col("top") + F.col("all") - F.col("best") >= F.col("floor"))
     return materialize(put.withColumn("read", read), "bm25-choice")
 
@@ -159,15 +160,19 @@ def search(index: Bm25Index, terms: DataFrame, k: int = 10) -> DataFrame:
     in a level left out, so its sum is whole; what has one left out stays below.
     """
     chosen = _chosen(index, _bounds(index, terms), k)
-    found = _scored(index, chosen.where("read")).join(chosen.groupBy("query_id").agg(F.max("rest").alias("rest"), F.max("floor").alias("floor")), "query_id")
-    able = materialize(found.where(F.col("s") + F.col("rest") >= F.col("floor")).select("query_id", "doc_id", "s"), "bm25-able")
+    found = materialize(_scored(index, chosen.where("read")), "bm25-found")
+    kth = top_rows(found, ["query_id"], [F.desc("s"), F.col("doc_id")], k, "r").where(F.col("r") == k).select("query_id", F.col("s").alias("kth"))
+    per_query = chosen.groupBy("query_id").agg(F.max("rest").alias("rest"), F.max("floor").alias("floor"), F.max("low").alias("low"))
+    # What was read so far raises the floor: few documents are left that unread terms can bring above it.
+    floors = per_query.join(kth, "query_id", "left").select("query_id", "rest", F.greatest("floor", F.col("kth") + F.col("low") - SLACK).alias("floor"))
+    able = materialize(found.join(floors, "query_id").where(F.col("s") + F.col("rest") >= F.col("floor")).select("query_id", "doc_id", "s"), "bm25-able")
     unread = chosen.where("unread").groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
-    more = unread.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weights"))
-    own = index.docs.join(able.select("doc_id").distinct(), "doc_id", "left_semi")
-    whole = able.join(more, "query_id", "left").join(own, "doc_id")
-    weight = lambda w: F.coalesce(F.try_element_at("weights", w["term"]), F.lit(0.0))
-    added = F.aggregate("words", F.lit(0.0), lambda acc, w: acc + weight(w) * term_score(w["tf"], F.col("dl"), F.lit(index.avgdl)))
-    scored = whole.select("query_id", "doc_id", F.round(F.col("s") + F.when(F.col("weights").isNull(), 0.0).otherwise(added), 9).alias("score")).where("score > 0")
+    # Each document's list is opened once; terms meet the queries that left them unread.
+    own = index.docs.join(able.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "dl", F.explode("words").alias("w"))
+    own = own.select("doc_id", "dl", "w.term", "w.tf").join(unread, "term")
+    added = own.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * term_score(F.col("tf"), F.col("dl"), F.lit(index.avgdl))).alias("added"))
+    whole = able.join(added, ["query_id", "doc_id"], "left")
+    scored = whole.select("query_id", "doc_id", F.round(F.col("s") + F.coalesce("added", F.lit(0.0)), 9).alias("score")).where("score > 0")
     return top_rows(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 

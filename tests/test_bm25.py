@@ -87,3 +87,17 @@ def test_negative_weights(spark):
     got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in B.search(index, terms, 3).collect()}
     assert index.terms().where(F.col("idf") < 0).count() > 0 and search_tokens is not None
     assert got == plain_search(docs, queries, 3)
+
+
+def test_what_was_read_leaves_few_documents_to_complete(spark, corpus, monkeypatch):
+    """Unread terms are added to the documents that can still reach the k-th score of what was read, not to most."""
+    monkeypatch.setattr(B, "FIRST", 5)
+    written, plain = {}, B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, label: written.setdefault(label, plain(df, label)))
+    docs, queries = corpus
+    index = B.create_index(spark.createDataFrame(docs, "doc_id long, content string"), run_dir(spark, "bm25-few"))
+    terms = B.query_terms(spark.createDataFrame(queries, "q long, text string"), "q", "text")
+    got = {(r.query_id, r["rank"]): r.score for r in B.search(index, terms).collect()}
+    assert {k: v[1] for k, v in plain_search(docs, queries, 10).items()} == pytest.approx(got, abs=2e-9)
+    able = written["bm25-able"].count()
+    assert able < 0.3 * written["bm25-found"].count(), (able, written["bm25-found"].count())
