@@ -356,8 +356,7 @@ def f27(t):
     FROM s""")
 def f28(t):
     lines = t.src_files.select("doc_id", F.split("text", "\n").alias("ls"))
-    rows = lines.select("doc_id", "ls", F.explode(F.sequence(F.lit(1), F.size("ls"))).alias("line"))
-    return rows.select("doc_id", "line", S.comment_above(F.col("ls"), F.col("line")).alias("comment"))
+    return lines.select("doc_id", F.posexplode(S.comments_above(F.col("ls"))).alias("at", "comment")).select("doc_id", (F.col("at") + 1).alias("line"), "comment")
 
 
 @query("F29_path_parts", r"""
