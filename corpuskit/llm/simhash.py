@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from corpuskit.llm.components import components
+from corpuskit.operators.bitmaps import hits_of, map_of
 from corpuskit.operators.scan import top_rows
+from corpuskit.operators.sketches import parities
 from corpuskit.session import materialize
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,8 +46,8 @@ PART, FEW = 20, 3
 POLES = 2
 #: One text in so many is read for common shingles; so many of them come last in the order.
 SAMPLE, COMMON = 16, 1 << 18
-#: Bits of the map that picks the texts to read again; false hits only cost time.
-MAP_BITS = 1 << 25
+#: Parities of a set of shingles that go with its rows of the exact join, in words of 64 bits.
+SKETCH_WORDS = 8
 
 
 def shingles(text: str, size: int) -> list[str]:
@@ -164,21 +166,6 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def map_of(values: DataFrame, name: str) -> np.ndarray:
-    """A map of ``MAP_BITS`` bits in which those of ``values`` are set; other values may hit one too."""
-    bit = F.pmod(F.col(name).cast("long"), F.lit(MAP_BITS)) + 1
-    put = values.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for at, part in put:
-        bits[(at - 1) * 4096 : at * 4096] = np.frombuffer(part, np.uint8)
-    return bits
-
-
-def hits_of(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = np.mod(values, MAP_BITS)
-    return bits[at >> 3] >> (at & 7) & 1 == 1
-
-
 def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The ``rows`` whose ``place`` may be one of ``wanted``, so that a join need not move the others."""
     bits = rows.sparkSession.sparkContext.broadcast(map_of(wanted, "place"))
@@ -279,22 +266,26 @@ def _poled(shared: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return top_rows(few, ["node"], [F.desc("times"), F.col("pole")], POLES).select(F.least("node", "pole").alias("u"), F.greatest("node", "pole").alias("v")).distinct()
 
 
-def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(shared: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs ``(u, v)`` that may be similar and are in different components.
 
     Sets outside the largest component of a shingle meet all sets of other components.
+    Their sketches end in the join those that only have a common passage.
     """
     num, den = SHARE
     apart = materialize(_rooted(shared, roots), "near-apart")
     cells = apart.groupBy("token", "root").agg(F.count("*").alias("rows"))
     main = cells.groupBy("token").agg(F.max(F.struct("rows", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    mixed = apart.join(main, "token")
-    side = lambda df, c, *more: df.select("token", *more, *[F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "root")])
+    mixed = apart.join(main, "token").join(sketches.select("node", "sketch"), "node")
+    side = lambda df, c, *more: df.select("token", *more, *[F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "root", "sketch")])
+    # Sets differ in at least as many shingles as their sketches differ in places.
+    differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     # Sizes of similar sets lie in the same or in neighbouring bands.
     asking = side(mixed.where("root <> main"), "a", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     pairs = asking.join(side(mixed, "b", "band"), ["token", "band"]).where(
         "a_root <> b_root"
-        f" and a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}")
+        f" and a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num}").where(
+        differ * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num))
     pairs = pairs.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(
         F.count_distinct("token").alias("times"), F.min(F.least("a_n", "b_n")).alias("n"))
     return pairs.where(F.col("times") >= _least(F.col("n"))).select("u", "v")
@@ -303,7 +294,7 @@ def _apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """``(node, root)``: components of all pairs of ``prints`` with a similarity of at least ``SHARE``.
 
-    ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``fp``, ``prefix`` and ``best``;
+    ``prints`` has ``node``, ``k1``, ``k2``, ``n``, ``fp``, ``prefix``, ``sketch`` and ``best``;
     ``texts`` has ``id``, ``h`` and ``text``.  Similar sets share as many shingles
     of their prefixes as the smaller ``_least`` of the two.  Deletion variants of
     the fingerprints link what they can, and each set meets the few others it
@@ -326,7 +317,7 @@ def near_roots(prints: DataFrame, texts: DataFrame) -> DataFrame:
     found = materialize(_similar(tried, prints, texts), "near-links")
     more = materialize(_poled(shared, components(found, "near-roots")).join(tried, ["u", "v"], "left_anti"), "near-met")
     found, tried = found.unionByName(materialize(_similar(more, prints, texts), "near-links")), tried.unionByName(more)
-    pairs = materialize(_apart(shared, components(found, "near-roots")).join(tried, ["u", "v"], "left_anti"), "near-met")
+    pairs = materialize(_apart(shared, components(found, "near-roots"), prints).join(tried, ["u", "v"], "left_anti"), "near-met")
     return components(found.unionByName(_similar(pairs, prints, texts)), "near-roots")
 
 
@@ -344,7 +335,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
 
     # A token of a prefix is 32 bits of its shingle's hash: it only says which sets may be similar.
-    @pandas_udf("k1 long, k2 long, n int, fp long, prefix array<int>")
+    @pandas_udf("k1 long, k2 long, n int, fp long, prefix array<int>, sketch array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         tokens, counts = common.value
         out = []
@@ -353,12 +344,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             at = np.minimum(np.searchsorted(tokens, own), max(0, len(tokens) - 1))
             weight = np.where(tokens[at] == own, counts[at], 0) if len(tokens) else np.zeros(len(own), np.int64)
             keep = len(own) + -len(own) * SHARE[0] // SHARE[1] + 1 + len(own) // PART if len(own) else 0
-            out.append((*_digest(own), len(own), _majority([own]), own[np.argsort(weight, kind="stable")[:keep]].astype(np.int32)))
-        return pd.DataFrame(out, columns=["k1", "k2", "n", "fp", "prefix"])
+            out.append((*_digest(own), len(own), _majority([own]), own[np.argsort(weight, kind="stable")[:keep]].astype(np.int32), parities(own, SKETCH_WORDS)))
+        return pd.DataFrame(out, columns=["k1", "k2", "n", "fp", "prefix", "sketch"])
 
     slim = docs.select(F.col(id_col).alias("id"), hashed.alias("h"), of(F.col(text_col)).alias("s")).select("id", "h", "s.*")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
-    prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
+    prints = slim.groupBy("k1", "k2").agg(best, F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch"))
     prints = materialize(prints.select(F.monotonically_increasing_id().alias("node"), "*"), "near-prints")
     of_node = prints.select("node", "best").join(near_roots(prints, texts), "node", "left")
     stay = of_node.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
