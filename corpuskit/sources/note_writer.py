@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 
 #: Names of file systems that Spark and Arrow spell differently.
 _SPELT = {"s3a": "s3", "s3n": "s3"}
-#: Files that the driver moves at a time.
-MOVERS = 16
+#: Threads of the driver that move files, and files that each takes at a time.
+MOVERS, MOVED_AT_ONCE = 16, 256
 
 
 def file_system(root: str) -> tuple[fs.FileSystem, str]:
@@ -65,16 +65,22 @@ class NoteWriter(DataSourceWriter):
     def commit(self, messages: list[_Staged | None]) -> None:
         files, top = file_system(self.root)
 
-        def move(info: fs.FileInfo, folder: str) -> None:
-            target = f"{top}/{os.path.relpath(info.path, folder)}"
-            files.create_dir(os.path.dirname(target), recursive=True)
-            files.move(info.path, target)
+        made: set[str] = set()
+
+        def move(moves: list[tuple[str, str]]) -> None:
+            for source, target in moves:
+                files.move(source, target)
 
         with ThreadPoolExecutor(MOVERS) as pool:
             for message in messages:
                 if message and message.files:
                     found = files.get_file_info(fs.FileSelector(message.folder, recursive=True))
-                    list(pool.map(lambda i, m=message: move(i, m.folder), (i for i in found if i.type == fs.FileType.File)))
+                    moves = [(i.path, top + i.path[len(message.folder) :]) for i in found if i.type == fs.FileType.File]
+                    # A folder is made once, not for each of its files.
+                    fresh = {os.path.dirname(target) for _, target in moves} - made
+                    list(pool.map(lambda d: files.create_dir(d, recursive=True), fresh))
+                    made |= fresh
+                    list(pool.map(move, (moves[at : at + MOVED_AT_ONCE] for at in range(0, len(moves), MOVED_AT_ONCE))))
         self._clear()
 
     def abort(self, messages: list[_Staged | None]) -> None:
