@@ -185,7 +185,8 @@ def _held(column: str, tokens: DataFrame) -> Column:
     def of(arrays: pd.Series) -> pd.Series:
         return pd.Series([a[hits_of(bits.value, a.astype(np.int64))] for a in arrays], dtype=object)
 
-    return of(column)
+    # Else the filter that comes with an explode works it out once more.
+    return of.asNondeterministic()(column)
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
@@ -202,6 +203,8 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame
         sets = [shingle_set(t) for t in texts]
         return pd.DataFrame({"k1": [_digest(s)[0] for s in sets], "k2": [_digest(s)[1] for s in sets], "tokens": sets})
 
+    # Else the join's filter for NULL keys is moved below and makes the sets of all texts, ahead of the picked ones.
+    of = of.asNondeterministic()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     place = F.xxhash64("best.id", "best.h").alias("place")
     placed = materialize(prints.select("node", "k1", "k2", "best").join(nodes, "node").select("node", "k1", "k2", place), "near-nodes")
