@@ -36,6 +36,16 @@ def file_system(root: str) -> tuple[fs.FileSystem, str]:
         raise ValueError(f"files cannot be written to {root}: {e}") from e
 
 
+def _folders(files: fs.FileSystem, top: str) -> Iterator[list[fs.FileInfo]]:
+    """The files of each folder from ``top`` down, folder by folder."""
+    waiting = [top]
+    while waiting:
+        found = files.get_file_info(fs.FileSelector(waiting.pop()))
+        waiting += [i.path for i in found if i.type == fs.FileType.Directory]
+        if own := [i for i in found if i.type == fs.FileType.File]:
+            yield own
+
+
 @dataclass
 class _Staged(WriterCommitMessage):
     folder: str
@@ -74,13 +84,14 @@ class NoteWriter(DataSourceWriter):
         with ThreadPoolExecutor(MOVERS) as pool:
             for message in messages:
                 if message and message.files:
-                    found = files.get_file_info(fs.FileSelector(message.folder, recursive=True))
-                    moves = [(i.path, top + i.path[len(message.folder) :]) for i in found if i.type == fs.FileType.File]
-                    # A folder is made once, not for each of its files.
-                    fresh = {os.path.dirname(target) for _, target in moves} - made
-                    list(pool.map(lambda d: files.create_dir(d, recursive=True), fresh))
-                    made |= fresh
-                    list(pool.map(move, (moves[at : at + MOVED_AT_ONCE] for at in range(0, len(moves), MOVED_AT_ONCE))))
+                    # One folder of one task at a time is held.
+                    for found in _folders(files, message.folder):
+                        moves = [(i.path, top + i.path[len(message.folder) :]) for i in found]
+                        # A folder is made once, not for each of its files.
+                        fresh = {os.path.dirname(target) for _, target in moves} - made
+                        list(pool.map(lambda d: files.create_dir(d, recursive=True), fresh))
+                        made |= fresh
+                        list(pool.map(move, (moves[at : at + MOVED_AT_ONCE] for at in range(0, len(moves), MOVED_AT_ONCE))))
         self._clear()
 
     def abort(self, messages: list[_Staged | None]) -> None:
@@ -109,9 +120,12 @@ def write_notes(notes: DataFrame, root: str) -> None:
     """One markdown file per row of ``(path, content)`` below a folder all executors share.
 
     ``root`` is a path or a URI of any file system that the executors reach.
-    Two notes of one path would overwrite each other, so they raise.
+    Two notes of one path would overwrite each other, so they raise, as does a
+    note without a path.  A NULL content makes an empty note.
     """
-    twice = notes.groupBy("path").count().where("count > 1").select("path").head(3)
+    twice = notes.groupBy("path").count().where("count > 1 or path is null").select("path").head(3)
+    if any(r.path is None for r in twice):
+        raise ValueError("a note has no path")
     if twice:
         raise ValueError(f"several notes have the path {', '.join(r.path for r in twice)}")
     notes.sparkSession.dataSource.register(NoteSource)
