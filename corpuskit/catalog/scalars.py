@@ -76,12 +76,12 @@ def f6(t):
 
 
 @query("F7_dictionary_tags", f"""
-    SELECT doc_id, {G.tags_sql("substr(text, 1, 300)")} AS code_tags, {G.tags_sql("text", G.TABLE_TAGS)} AS table_tags,
+    SELECT doc_id, {G.tags_sql("text")} AS code_tags, {G.tags_sql("text", G.TABLE_TAGS)} AS table_tags,
            {G.tags_sql("text", G.NOTE_TAGS)} AS note_tags FROM @src_files@""")
 def f7(t):
     c = F.col("text")
     return t.src_files.select(
-        "doc_id", F.array_join(G.tags_of(S.clip(c, 300)), "|").alias("code_tags"),
+        "doc_id", F.array_join(G.tags_of(c), "|").alias("code_tags"),
         F.array_join(G.tags_of(c, G.TABLE_TAGS), "|").alias("table_tags"),
         F.array_join(G.tags_of(c, G.NOTE_TAGS), "|").alias("note_tags"))
 
